@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["decontaminate", "language", "chat", "privacy", "mixing", "revisits"]
+_MODULES = ["decontaminate", "language", "chat", "privacy", "mixing", "revisits", "vectors"]
 
 
 def queries() -> dict:
