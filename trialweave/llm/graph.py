@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,3 +44,22 @@ def components(edges: DataFrame) -> DataFrame:
         drop_stage(now)
         now = after
     return now.select(F.col("b").alias("node"), F.col("a").alias("component")).union(now.select("a", "a")).distinct()
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Positions of the pairs that connect what was not connected before."""
+    parent: dict[int, int] = {}
+
+    def root(x):
+        while parent.get(x, x) != x:
+            parent[x] = parent.get(parent[x], parent[x])
+            x = parent[x]
+        return x
+
+    out = []
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        rx, ry = root(x), root(y)
+        if rx != ry:
+            parent[rx] = ry
+            out.append(i)
+    return out

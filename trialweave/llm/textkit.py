@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 _U = np.uint64
 #: Odd multipliers of the polynomial and mixing hashes (arbitrary, fixed so that every executor agrees).
@@ -147,3 +148,28 @@ def distinct_by_row(row: np.ndarray, value: np.ndarray, n_rows: int):
     parts = [np.unique(value[at[i] : at[i + 1]]) for i in range(n_rows)]
     sizes = np.fromiter(map(len, parts), np.int64, n_rows)
     return (np.concatenate(parts) if parts else value[:0]), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 2 << 20):
+    """Sub-batches whose text takes about ``max_bytes`` (one longer row alone), so that numpy's copies stay bounded."""
+    text = batch[column]
+    sizes = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(text), 0), np.int64))
+    at = 0
+    while at < len(batch):
+        base = sizes[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(sizes, base + max_bytes, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def set_keys(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """64-bit key of each row's set of distinct hashes; equal sets, equal keys."""
+    n = np.diff(offsets)
+    out = np.zeros(len(n), _U)
+    full = n > 0
+    if full.any():
+        with np.errstate(over="ignore"):
+            s = np.concatenate([[_U(0)], np.cumsum(mix(values ^ _U(0x5851F42D4C957F2D)), dtype=_U)])
+            out = s[offsets[1:]] - s[offsets[:-1]]
+            out = mix(out + mix(n.astype(_U)))
+    return out

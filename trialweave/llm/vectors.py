@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small, stage, table
-from .graph import components
+from .graph import components, forest
 
 THRESHOLD = 0.98
 #: Probability of missing a pair at the threshold; standard errors in a confidence bound; rows of a block.
@@ -90,25 +90,6 @@ def _encode(width: int, tables: int):
     return of
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> list[int]:
-    """Positions of the pairs that connect what was not connected before."""
-    parent: dict[int, int] = {}
-
-    def root(x):
-        while parent.get(x, x) != x:
-            parent[x] = parent.get(parent[x], parent[x])
-            x = parent[x]
-        return x
-
-    out = []
-    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        rx, ry = root(x), root(y)
-        if rx != ry:
-            parent[rx] = ry
-            out.append(i)
-    return out
-
-
 def links_in(rows: dict[str, np.ndarray], table_no: int, threshold: float, bits: int):
     """Linked (left, right) positions of a bucket or of a pair of its blocks, each pair in its first table only."""
     dims = rows["dim"]
@@ -160,7 +141,7 @@ def _compare(threshold: float, bits: int):
             return None
         n = np.bincount(a, rows["m"][b], len(group)) + np.bincount(b, rows["m"][a], len(group))
         hit = np.flatnonzero(n)
-        tree = _forest(a, b)
+        tree = forest(a, b)
         return pa.record_batch({
             "vk": pa.array(np.concatenate([rows["vk"][hit], rows["vk"][a[tree]]])), "n": pa.array(np.concatenate([n[hit].astype(np.int64), np.zeros(len(tree), np.int64)])),
             "other": pa.array([None] * len(hit) + rows["vk"][b[tree]].tolist(), pa.int64())}, schema=out_schema)
