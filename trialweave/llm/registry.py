@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["decontaminate", "language", "chat", "privacy", "mixing", "revisits", "vectors", "urlrules", "jaccard"]
+_MODULES = ["decontaminate", "language", "chat", "privacy", "mixing", "revisits", "vectors", "urlrules", "jaccard", "substrings"]
 
 
 def queries() -> dict:
