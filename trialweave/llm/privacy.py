@@ -173,8 +173,11 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
     done = F.aggregate(every, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
     joined = mine.join(found, (mine["__tk"] == found["tk"]) & mine["doc_id"].cast("bigint").eqNullSafe(found["doc_id"]), "left")
-    columns = [F.when(found["tk"].isNotNull(), done).otherwise(text).alias("text") if c == "text" else mine[c] for c in docs.columns]
-    return joined.select(*columns)
+    new = F.when(found["tk"].isNotNull(), done).otherwise(text)
+    out = joined.withColumn("__new", new).select(*[F.col("__new").alias("text") if c == "text" else mine[c] for c in docs.columns])
+    if "n_chars" in docs.columns:  # follows the text where it was changed
+        out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out
 
 
 def op9_privacy(spark, sf_dir):
