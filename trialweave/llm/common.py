@@ -22,6 +22,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Python tasks get at most ``rows`` rows at a time: whole texts are long, and memory is per batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, str(rows))
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession

@@ -29,19 +29,20 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import same, small, stage, table, text_key
+from .common import bounded_batches, same, small, stage, table, text_key
 from .graph import components, forest
 from .textkit import SPACE_WORDS, batch_bytes, distinct_by_row, set_keys, shingles, slices, word_hashes, words
 
 SHINGLE, THRESHOLD = 5, 75  # words; percent
 #: Prefix tokens gathered in a task before they are aggregated and shipped; frequency from which tokens rank alike.
-FLUSH, SATURATED = 1_000_000, 1024
+FLUSH, SATURATED = 500_000, 1024
 #: Rows up to which the chosen documents are broadcast to fetch their texts.
 MAX_BROADCAST_ROWS = 500_000
 #: Sets, and tokens, that a block holds about; a task compares two blocks at a time.
 BLOCK, BLOCK_TOKENS = 128, 1_000_000
 
-_MULTI = np.int64(-(2**63))  # stands for "several classes of one task"
+#: Bits of a class key that the first pass keeps; tokens of a bucket of that pass, about.
+_CUT, BUCKET = np.int64((1 << 40) - 1), 250_000
 
 
 def need(n):
@@ -65,85 +66,105 @@ def _measure(batches):
             yield pa.record_batch({"doc_id": part["doc_id"], "tk": part["tk"], "n": pa.array(n), "sk": pa.array(key)})
 
 
-def _credits(batches):
-    """Rows (token, sk) of hash-ordered prefixes, one per token and task flush; rows (sk, n, credit) of what is known."""
-    seen_n: dict[int, int] = {}
-    toks, keys, held = [], [], 0
+def _credits(buckets: int):
+    """Hash-ordered prefixes, packed: one row per task flush and bucket of tokens, nine bytes an entry.
 
-    def flush():
-        t, k = np.concatenate(toks), np.concatenate(keys)
+    A token of several classes of one flush is one entry without a class.  Rows (sk, n, credit) tell what the flush
+    knows already.  Tokens and classes are cut to 32 bits (within a bucket) and 40: a clash can only let a class stay.
+    """
+
+    def of(batches):
+        seen: dict[int, int] = {}
+        toks, keys, held = [], [], 0
+
+        def flush():
+            t, k = np.concatenate(toks), np.concatenate(keys)
+            order = np.lexsort((k, t))
+            t, k = t[order], k[order]
+            first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+            size = np.diff(np.concatenate([first, [len(t)]]))
+            sk, credit = np.unique(k[np.repeat(size > 1, size)], return_counts=True)
+            known = dict(zip(sk.tolist(), credit.tolist(), strict=True))
+            t, k = t[first], np.where(size > 1, 0, (k[first] & _CUT) | 1)
+            bucket = (t.view(np.uint64) & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            bucket, t, k = bucket[order], (t[order] >> 32).astype(np.int32), k[order]
+            cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            ends = np.concatenate([cut[1:], [len(bucket)]])
+            low, high = (k & 0xFFFFFFFF).astype(np.uint32), (k >> 32).astype(np.uint8)
+            raw = [t[i:j].tobytes() + low[i:j].tobytes() + high[i:j].tobytes() for i, j in zip(cut, ends, strict=True)]
+            none = pa.nulls(len(cut), pa.int64())
+            yield pa.record_batch({"bucket": pa.array(bucket[cut].astype(np.int32)), "packed": pa.array(raw, pa.binary()), "sk": none, "n": none, "credit": none})
+            spread = [int(s % buckets) for s in seen]
+            yield pa.record_batch({"bucket": pa.array(spread, pa.int32()), "packed": pa.nulls(len(seen), pa.binary()), "sk": pa.array([s & int(_CUT) | 1 for s in seen], pa.int64()), "n": pa.array(seen.values(), pa.int64()), "credit": pa.array([known.get(s, 0) for s in seen], pa.int64())})
+
+        for b in batches:
+            for part in slices(b):
+                v, so, n, sk = sets_of(part["text"])
+                length = np.minimum(n, n - need(n) + np.maximum(1, n // 8))
+                for i in np.flatnonzero(n > 1):
+                    if (s := int(sk[i])) not in seen:
+                        seen[s] = int(n[i])
+                        toks.append(v[so[i] : so[i] + length[i]].view(np.int64))
+                        keys.append(np.full(length[i], sk[i]))
+                        held += length[i]
+                if held >= FLUSH:
+                    yield from flush()
+                    seen, toks, keys, held = {}, [], [], 0
+        if toks:
+            yield from flush()
+
+    return of
+
+
+def _met(batches):
+    """From rows sorted by bucket: (sk, n, credit) of entries whose token has two different classes, and of known credits."""
+    now, packed = None, []
+
+    def close():
+        if not packed:
+            return None
+        parts = [(np.frombuffer(x, np.int32, len(x) // 9), np.frombuffer(x, np.uint32, len(x) // 9, len(x) // 9 * 4), np.frombuffer(x, np.uint8, len(x) // 9, len(x) // 9 * 8)) for x in packed]
+        t = np.concatenate([x[0] for x in parts])
+        k = np.concatenate([x[1] for x in parts]).astype(np.int64) | (np.concatenate([x[2] for x in parts]).astype(np.int64) << 32)
         order = np.lexsort((k, t))
         t, k = t[order], k[order]
         first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
         size = np.diff(np.concatenate([first, [len(t)]]))
-        multi = np.repeat(size > 1, size)
-        sk, credit = np.unique(k[multi], return_counts=True)
-        known = dict(zip(sk.tolist(), credit.tolist(), strict=True))
-        yield pa.record_batch({"token": pa.array(t[first]), "sk": pa.array(np.where(size > 1, _MULTI, k[first])), "n": pa.nulls(len(first), pa.int64()), "credit": pa.nulls(len(first), pa.int64())})
-        yield pa.record_batch({"token": pa.array(seen_n.keys(), pa.int64()), "sk": pa.array(seen_n.keys(), pa.int64()), "n": pa.array(seen_n.values(), pa.int64()), "credit": pa.array([known.get(s, 0) for s in seen_n], pa.int64())})
-
-    for b in batches:
-        for part in slices(b):
-            v, so, n, sk = sets_of(part["text"])
-            length = np.minimum(n, n - need(n) + np.maximum(1, n // 8))
-            for i in np.flatnonzero(n > 1):
-                if (s := int(sk[i])) not in seen_n:
-                    seen_n[s] = int(n[i])
-                    toks.append(v[so[i] : so[i] + length[i]].view(np.int64))
-                    keys.append(np.full(length[i], sk[i]))
-                    held += length[i]
-            if held >= FLUSH:
-                yield from flush()
-                seen_n, toks, keys, held = {}, [], [], 0
-    if toks:
-        yield from flush()
+        several = (k[first] != k[first + size - 1]) | (k[first] == 0)  # sorted by class; 0: several in one flush
+        once = np.concatenate([[True], (t[1:] != t[:-1]) | (k[1:] != k[:-1])])
+        sk, credit = np.unique(k[np.repeat(several, size) & once & (k != 0)], return_counts=True)
+        return pa.record_batch({"sk": pa.array(sk), "n": pa.nulls(len(sk), pa.int64()), "credit": pa.array(credit.astype(np.int64))})
 
-
-def _met(batches):
-    """From rows sorted by (token, sk): (sk, n, credit) of rows whose token has two different classes, and of known credits."""
-    carry_t, carry_k, pending = None, None, False
     for b in batches:
-        known = b.filter(pa.compute.is_valid(b["n"]))
-        yield known.select(["sk", "n", "credit"])
+        yield b.filter(pa.compute.is_valid(b["n"])).select(["sk", "n", "credit"])
         b = b.filter(pa.compute.is_null(b["n"]))
-        t, k = np.asarray(b["token"]), np.asarray(b["sk"])
-        if not len(t):
-            continue
-        owed = np.ones(len(t), bool)
-        if carry_t is not None:
-            t, k, owed = np.concatenate([[carry_t], t]), np.concatenate([[carry_k], k]), np.concatenate([[pending], owed])
-        fresh = np.concatenate([[True], (t[1:] != t[:-1]) | (k[1:] != k[:-1])])
-        fresh[1:] |= (t[1:] == t[:-1]) & (k[1:] == _MULTI)  # two tasks' "several"
-        t, k, owed = t[fresh], k[fresh], owed[fresh]
-        first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-        size = np.diff(np.concatenate([first, [len(t)]]))
-        several = (size > 1) | (k[first] == _MULTI)  # sorted: the marker comes first
-        dup = np.repeat(several, size)
-        carry_t = t[-1]
-        carry_k, pending = (_MULTI, False) if several[-1] else (k[-1], True)
-        if not several[-1]:
-            dup[-1] = False
-        hit = k[dup & owed & (k != _MULTI)]
-        sk, credit = np.unique(hit, return_counts=True)
-        yield pa.record_batch({"sk": pa.array(sk), "n": pa.nulls(len(sk), pa.int64()), "credit": pa.array(credit.astype(np.int64))})
+        for bucket, raw in zip(b["bucket"].to_pylist(), b["packed"].to_pylist(), strict=True):
+            if bucket != now:
+                if (done := close()) is not None:
+                    yield done
+                now, packed = bucket, []
+            packed.append(raw)
+    if (done := close()) is not None:
+        yield done
 
 
 def _tokens(batches):
     for b in batches:
-        for sk, n, raw in zip(b["sk"].to_pylist(), b["n"].to_pylist(), b["tokens"].to_pylist(), strict=True):
-            v = np.frombuffer(raw, np.int64)
-            yield pa.record_batch({"token": pa.array(v), "sk": pa.array(np.full(len(v), sk)), "n": pa.array(np.full(len(v), n, np.int32))})
+        for sk, raw in zip(b["sk"].to_pylist(), b["tokens"], strict=True):
+            v = np.frombuffer(raw.as_buffer(), np.int64)
+            yield pa.record_batch({"token": pa.array(v), "sk": pa.array(np.full(len(v), sk))})
 
 
 def _frequencies(batches):
-    """From rows sorted by token: (sk, n, token, df) of tokens in two sets or more; df saturates."""
-    ct, ck, cn, over = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), None
+    """From rows sorted by token: (sk, token, df) of tokens in two sets or more; df saturates."""
+    ct, ck, over = np.zeros(0, np.int64), np.zeros(0, np.int64), None
 
-    def out(k, n, t, df):
-        return pa.record_batch({"sk": pa.array(k), "n": pa.array(n.astype(np.int32)), "token": pa.array(t), "df": pa.array(df.astype(np.int32))})
+    def out(k, t, df):
+        return pa.record_batch({"sk": pa.array(k), "token": pa.array(t), "df": pa.array(df.astype(np.int32))})
 
     for b in batches:
-        t, k, n = np.concatenate([ct, np.asarray(b["token"])]), np.concatenate([ck, np.asarray(b["sk"])]), np.concatenate([cn, np.asarray(b["n"])])
+        t, k = np.concatenate([ct, np.asarray(b["token"])]), np.concatenate([ck, np.asarray(b["sk"])])
         if not len(t):
             continue
         first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
@@ -155,21 +176,24 @@ def _frequencies(batches):
         done[-1] = df[-1] == SATURATED  # the last run may go on; a saturated one needs no waiting
         over = t[-1] if done[-1] else None
         rows = np.repeat(done & (df > 1), size)
-        yield out(k[rows], n[rows], t[rows], np.repeat(df, size)[rows])
+        yield out(k[rows], t[rows], np.repeat(df, size)[rows])
         keep = slice(len(t), None) if done[-1] else slice(first[-1], None)
-        ct, ck, cn = t[keep], k[keep], n[keep]
+        ct, ck = t[keep], k[keep]
     if len(ct) > 1:
-        yield out(ck, cn, ct, np.full(len(ct), len(ct)))
+        yield out(ck, ct, np.full(len(ct), len(ct)))
 
 
 def _prefixes(batches):
     """From rows sorted by (sk, df, token): the prefix rows (k = 2) of sets that may have a partner.
 
+    A set's first row has df -1 and its size for a token.
+
     ``pos`` counts places left in the prefix of k = 1 (0 or less: only in that of k = 2); ``lone`` is the share of
     tokens that no other set holds.
     """
 
-    def close(sk, n, token, df):
+    def close(sk, token, df):
+        n, token, df = token[0], token[1:], df[1:]
         c = len(token)
         lone = n - c
         room = int(n - need(n) + 2 - lone)
@@ -180,19 +204,18 @@ def _prefixes(batches):
 
     cur = None
     for b in batches:
-        sk, n, tok, df = (np.asarray(b[c]) for c in ("sk", "n", "token", "df"))
+        sk, tok, df = (np.asarray(b[c]) for c in ("sk", "token", "df"))
         if cur is not None:
-            sk, n, tok, df = (np.concatenate(x) for x in zip(cur, (sk, n, tok, df), strict=True))
+            sk, tok, df = (np.concatenate(x) for x in zip(cur, (sk, tok, df), strict=True))
         if not len(sk):
             continue
         first = np.flatnonzero(np.concatenate([[True], sk[1:] != sk[:-1]]))
         ends = np.concatenate([first[1:], [len(sk)]])
-        rows = [r for a, e in zip(first[:-1], ends[:-1], strict=True) if (r := close(sk[a], n[a], tok[a:e], df[a:e])) is not None]
-        a = first[-1]
-        cur = (sk[a:], n[a:], tok[a:], df[a:])
+        rows = [r for a, e in zip(first[:-1], ends[:-1], strict=True) if (r := close(sk[a], tok[a:e], df[a:e])) is not None]
+        cur = (sk[first[-1] :], tok[first[-1] :], df[first[-1] :])
         if rows:
             yield pa.record_batch({c: pa.array(np.concatenate([r[c] for r in rows])) for c in rows[0]})
-    if cur is not None and (r := close(cur[0][0], cur[1][0], cur[2], cur[3])) is not None:
+    if cur is not None and (r := close(cur[0][0], cur[1], cur[2])) is not None:
         yield pa.record_batch({c: pa.array(v) for c, v in r.items()})
 
 
@@ -314,14 +337,18 @@ def _across(sigs: DataFrame, comp: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, tk, n, sk) of every row and (sk, component) of the classes that link with others."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("tk", text_key())
     measured = stage(rows.mapInArrow(_measure, "doc_id bigint, tk bigint, n bigint, sk bigint"), "measured")
-    shipped = rows.select("text").mapInArrow(_credits, "token bigint, sk bigint, n bigint, credit bigint")
-    met = shipped.repartition("token").sortWithinPartitions("token", "sk").mapInArrow(_met, "sk bigint, n bigint, credit bigint")
+    size = measured.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    buckets = max(64, size * 3 // 8 // BUCKET)
+    shipped = rows.select("text").mapInArrow(_credits(buckets), "bucket int, packed binary, sk bigint, n bigint, credit bigint")
+    met = shipped.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_met, "sk bigint, n bigint, credit bigint")
     total = met.groupBy("sk").agg(F.max("n").alias("n"), F.sum("credit").alias("credit"))
     least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * THRESHOLD / 100) / 8))
-    alive = stage(total.where(F.col("credit") >= least).select("sk"), "alive")
-    heads = measured.join(small(alive, MAX_BROADCAST_ROWS), "sk").groupBy("sk").agg(F.min(F.struct("doc_id", "tk")).alias("d")).select("sk", "d.doc_id", "d.tk")
+    alive = stage(total.where(F.col("credit") >= least).select(F.col("sk").alias("cut")), "alive")
+    cut = F.col("sk").bitwiseAND(F.lit(int(_CUT))).bitwiseOR(F.lit(1)).alias("cut")
+    heads = measured.select("*", cut).join(small(alive, MAX_BROADCAST_ROWS), "cut").groupBy("sk").agg(F.min(F.struct("doc_id", "tk")).alias("d")).select("sk", "d.doc_id", "d.tk")
     heads = small(stage(heads, "heads"), MAX_BROADCAST_ROWS)
     texts = rows.join(heads, same(rows, heads, "doc_id", "tk")).select(heads["sk"].alias("sk"), "text")
 
@@ -332,7 +359,8 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 yield pa.record_batch({"sk": pa.array(sk), "n": pa.array(n), "tokens": pa.array([v[so[i] : so[i + 1]].tobytes() for i in range(len(n))], pa.binary())})
 
     sets = stage(texts.mapInArrow(tokens, "sk bigint, n bigint, tokens binary").dropDuplicates(["sk"]), "sets")
-    counted = sets.mapInArrow(_tokens, "token bigint, sk bigint, n int").repartition("token").sortWithinPartitions("token").mapInArrow(_frequencies, "sk bigint, n int, token bigint, df int")
+    counted = sets.select("sk", "tokens").mapInArrow(_tokens, "token bigint, sk bigint").repartition("token").sortWithinPartitions("token").mapInArrow(_frequencies, "sk bigint, token bigint, df int")
+    counted = counted.unionByName(sets.select("sk", F.col("n").alias("token"), F.lit(-1).alias("df")))
     prefixes = stage(counted.repartition("sk").sortWithinPartitions("sk", "df", "token").mapInArrow(_prefixes, _PREFIX), "prefixes")
     sigs = stage(signatures(prefixes, boundary(prefixes)), "signatures")
     return measured, _class_links(sigs, sets)
