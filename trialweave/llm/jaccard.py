@@ -38,6 +38,8 @@ SHINGLE, THRESHOLD = 5, 75  # words; percent
 FLUSH, SATURATED = 500_000, 1024
 #: Rows up to which the chosen documents are broadcast to fetch their texts.
 MAX_BROADCAST_ROWS = 500_000
+#: Cost of comparing with one list entry inside a block, where writing and shuffling one subset costs 1.
+SCAN = 0.01
 #: Sets, and tokens, that a block holds about; a task compares two blocks at a time.
 BLOCK, BLOCK_TOKENS = 128, 1_000_000
 
@@ -223,10 +225,10 @@ _PREFIX = "sk bigint, n int, token bigint, df int, pos int, lone float"
 
 
 def boundary(prefixes: DataFrame) -> int:
-    """Largest size of a small set: least subsets written plus list entries scanned, over sizes up to 512 by octaves."""
+    """Largest size of a small set: least cost of subsets written and list entries scanned, over sizes up to 512 by octaves."""
     per = prefixes.groupBy("sk", "n").agg(F.count(F.lit(1)).alias("c"), F.sum(F.when(F.col("pos") > 0, F.col("df"))).alias("scan"))
     rows = per.groupBy(F.least("n", F.lit(1024)).alias("n")).agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("subsets"), F.sum("scan").alias("scan")).collect()  # 1024 rows at most
-    cost = lambda x: sum(r["subsets"] or 0 for r in rows if r["n"] * THRESHOLD <= x * 100) + sum(r["scan"] or 0 for r in rows if r["n"] > x)
+    cost = lambda x: sum(r["subsets"] or 0 for r in rows if r["n"] * THRESHOLD <= x * 100) + SCAN * sum(r["scan"] or 0 for r in rows if r["n"] > x)
     return min((0, 8, 16, 32, 64, 128, 256, 512), key=lambda x: (cost(x), x))
 
 
