@@ -159,11 +159,11 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """The documents with findings replaced by [KIND] and disclosing terms generalised or removed; all columns stay."""
     found = spans(docs)
     found = found.where((F.size("base") > 0) | (F.size("terms") > 0)).dropDuplicates(["doc_id", "tk"])
-    found = small(stage(found, "spans"), MAX_BROADCAST_ROWS)
+    found = small(stage(found.withColumnsRenamed({"doc_id": "__doc_id", "tk": "__found_tk", "base": "__base", "terms": "__terms"}), "spans"), MAX_BROADCAST_ROWS)
     mine = docs.withColumn("__tk", text_key())
     marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    base = F.transform("base", lambda m: F.struct(m["start"].alias("start"), m["k"].alias("k"), m["end"].alias("end"), F.element_at(marks, m["k"] + 1).alias("value")))
-    every = F.array_sort(F.concat(base, F.col("terms")))
+    base = F.transform("__base", lambda m: F.struct(m["start"].alias("start"), m["k"].alias("k"), m["end"].alias("end"), F.element_at(marks, m["k"] + 1).alias("value")))
+    every = F.array_sort(F.concat(base, F.col("__terms")))
     text = F.col("text")
 
     def step(acc, m):
@@ -172,8 +172,8 @@ def sanitise(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(acc["at"], m["end"]).alias("at"), F.when(free, put).otherwise(acc["out"]).alias("out"))
 
     done = F.aggregate(every, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    joined = mine.join(found, (mine["__tk"] == found["tk"]) & mine["doc_id"].cast("bigint").eqNullSafe(found["doc_id"]), "left")
-    new = F.when(found["tk"].isNotNull(), done).otherwise(text)
+    joined = mine.join(found, (mine["__tk"] == F.col("__found_tk")) & mine["doc_id"].cast("bigint").eqNullSafe(F.col("__doc_id")), "left")
+    new = F.when(F.col("__found_tk").isNotNull(), done).otherwise(text)
     out = joined.withColumn("__new", new).select(*[F.col("__new").alias("text") if c == "text" else mine[c] for c in docs.columns])
     if "n_chars" in docs.columns:  # follows the text where it was changed
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)))
