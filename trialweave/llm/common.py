@@ -48,12 +48,16 @@ def drop_stage(df: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def small(df: DataFrame, max_rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if it is counted to hold at most ``max_rows`` rows, else unhinted (shuffle join).
+def small(df: DataFrame, max_rows: int, items: Column | None = None, max_items: int = 2_000_000) -> DataFrame:
+    """``df`` with a broadcast hint if it is counted to be small, else unhinted (shuffle join).
 
-    ``df`` should be a staged or otherwise cheap table: it is counted.
+    Small: at most ``max_rows`` rows, and where rows hold arrays, at most ``max_items`` of ``items`` in all.  ``df``
+    should be a staged or otherwise cheap table: it is counted.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    if items is None:
+        return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    rows, held = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(items), F.lit(0))).first()
+    return F.broadcast(df) if rows <= max_rows and held <= max_items else df
 
 
 def text_key(column: str = "text") -> Column:

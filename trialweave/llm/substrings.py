@@ -34,7 +34,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import same, small, stage, table, text_key
+from .common import bounded_batches, same, small, stage, table, text_key
 from .textkit import batch_bytes, mix, prefix_hash, row_of, slices, span_hash
 
 LENGTH, GRAM, GROUP = 400, 64, 43
@@ -151,8 +151,10 @@ class SuffixIndex:
 
 def _refine(rows: DataFrame, reps: DataFrame, width: int) -> DataFrame:
     """Units of ``width`` neighbouring windows of the representatives, with finer cores and contents."""
-    per_doc = reps.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("core", "s", "e", "p")).alias("u"))
-    per_doc = small(stage(per_doc, f"refine-{width}"), MAX_BROADCAST_ROWS)
+    # a place in one number: s, and how far e and p lie behind it (less than LENGTH each)
+    place = F.shiftleft(F.col("s").cast("bigint"), 22) + F.shiftleft((F.col("e") - F.col("s")).cast("bigint"), 11) + (F.col("p") - F.col("s"))
+    per_doc = reps.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("core", place.alias("place"))).alias("u"))
+    per_doc = small(stage(per_doc, f"refine-{width}"), MAX_BROADCAST_ROWS, F.size("u"))
     met = rows.join(per_doc, same(rows, per_doc, "doc_id", "tk")).select(rows["doc_id"], rows["tk"], "text", "u")
 
     def of(batches):
@@ -163,7 +165,9 @@ def _refine(rows: DataFrame, reps: DataFrame, width: int) -> DataFrame:
                 lists = part["u"]
                 count = np.asarray(pa.compute.list_value_length(lists), np.int64)
                 flat = lists.flatten()
-                core, s, e, p = (np.asarray(flat.field(c)).astype(np.int64) for c in ("core", "s", "e", "p"))
+                core, place = np.asarray(flat.field("core")), np.asarray(flat.field("place"))
+                s = place >> 22
+                e, p = s + ((place >> 11) & 2047), s + (place & 2047)
                 r = np.repeat(np.arange(len(part)), count)
                 lo, hi = (p - e) // width, (p - s) // width  # groups of offsets p - window
                 reps_of = hi - lo + 1
@@ -204,25 +208,33 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("tk", text_key())
 
 
-def _covered(spans) -> list[tuple[int, int]]:
-    """Maximal runs of bytes covered by the windows' ranges."""
-    out: list[list[int]] = []
-    for s, e in sorted(spans):
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], e + LENGTH)
-        else:
-            out.append([s, e + LENGTH])
-    return out
+def _cover(batches):
+    """From the packed window ranges of each document to its maximal runs of covered bytes, packed alike."""
+    for b in batches:
+        runs = []
+        for u in b["u"].to_pylist():
+            out: list[list[int]] = []
+            for x in sorted(u):
+                s, e = x >> 32, (x & 0xFFFFFFFF) + LENGTH
+                if out and s <= out[-1][1]:
+                    out[-1][1] = max(out[-1][1], e)
+                else:
+                    out.append([s, e])
+            runs.append([s << 32 | e for s, e in out])
+        yield pa.record_batch({"doc_id": b["doc_id"], "tk": b["tk"], "u": pa.array(runs, pa.list_(pa.int64()))})
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes)."""
     rows = _keyed(docs)
-    ranges = repeated_windows(rows).groupBy("doc_id", "tk").agg(F.collect_set(F.struct("s", "e")).alias("u"))
-    ranges = small(stage(ranges, "ranges"), MAX_BROADCAST_ROWS)
+    packed = F.shiftleft(F.col("s").cast("bigint"), 32) + F.col("e")
+    ranges = repeated_windows(rows).groupBy("doc_id", "tk").agg(F.collect_set(packed).alias("u"))
+    ranges = stage(ranges.mapInArrow(_cover, "doc_id bigint, tk bigint, u array<bigint>"), "ranges")
+    ranges = small(ranges, MAX_BROADCAST_ROWS, F.size("u"))
     met = rows.join(ranges, same(rows, ranges, "doc_id", "tk"), "left").select(rows["doc_id"], "text", "u")
 
     def of(batches):
@@ -230,7 +242,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             for part in slices(b):
                 out = {"doc_id": part["doc_id"].to_pylist(), "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "kept": []}
                 for raw, u in zip(part["text"].cast(pa.binary()).to_pylist(), part["u"].to_pylist(), strict=True):
-                    spans = _covered((x["s"], x["e"]) for x in u or ())
+                    spans = [(x >> 32, x & 0xFFFFFFFF) for x in u or ()]
                     at, kept = 0, []
                     for s, e in spans:
                         kept.append(raw[at:s])
