@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import same, small, stage, text_key
+from .common import bounded_batches, same, small, stage, text_key
 from .textkit import ALNUM_WORDS
 
 WINDOW = 13
@@ -99,6 +99,7 @@ def postings(docs: DataFrame, terms: set[bytes]) -> DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tk", text_key())
 
 
@@ -119,7 +120,7 @@ def candidates(index: DataFrame, plan: DataFrame, lists: int) -> DataFrame:
 def _verify(docs: DataFrame, cand: DataFrame, wins: dict[int, tuple[list[bytes], list[str]]]) -> DataFrame:
     """Exact phrases: (doc_id, tk, hits as [from, to) pairs, items) of the documents that have any."""
     per_doc = stage(cand.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("wid", "start")).alias("c")), "cand")
-    per_doc = small(per_doc, MAX_BROADCAST_ROWS)
+    per_doc = small(per_doc, MAX_BROADCAST_ROWS, F.size("c"))
     rows = docs.join(per_doc, same(docs, per_doc, "doc_id", "tk"), "inner").select(docs["doc_id"], docs["tk"], "text", "c")
 
     def of(batches):
@@ -203,7 +204,7 @@ def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = matches(docs, benchmark)
     hit = F.size(F.array_distinct(F.flatten(F.transform(F.flatten(F.collect_list("hits")), lambda x: F.sequence(x["a"], x["b"] - 1)))))
     found = stage(found.groupBy("doc_id", "tk").agg(hit.cast("bigint").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")), "hits")
-    found = small(found, MAX_BROADCAST_ROWS)
+    found = small(found, MAX_BROADCAST_ROWS, F.size("items"))
     zero = F.coalesce(F.col("n_hit"), F.lit(0).cast("bigint"))
     items = F.coalesce(F.col("items"), F.array().cast("array<string>"))
     return counted.join(found, same(counted, found, "doc_id", "tk"), "left").select(

@@ -139,13 +139,13 @@ def spans(docs: DataFrame) -> DataFrame:
     hot = base.where(F.size("base") > 0).select("doc_id", "tk", F.explode("ctx").alias("c")).select("doc_id", "tk", F.explode("c.entities").alias("entity")).distinct()
     flagged = hot.join(small(out, MAX_BROADCAST_ROWS), "entity").groupBy("doc_id", "tk", "term").agg(F.max("remove").alias("remove"))
     flagged = flagged.groupBy("doc_id", "tk").agg(F.map_from_entries(F.collect_list(F.struct("term", "remove"))).alias("flagged"))
-    flagged = small(stage(flagged, "flagged"), MAX_BROADCAST_ROWS)
+    flagged = small(stage(flagged, "flagged"), MAX_BROADCAST_ROWS, F.size("flagged"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text")).withColumn("tk", text_key())
     words = F.filter(matches(F.col("text"), r"\p{L}++", "term"), lambda m: F.col("flagged")[F.lower(m["value"])].isNotNull())
     named = F.transform(words, lambda m: F.struct(m["start"].alias("start"), m["k"].alias("k"), m["end"].alias("end"), F.when(F.col("flagged")[F.lower(m["value"])], "").otherwise("[TERM]").alias("value")))
     found = rows.join(flagged, same(rows, flagged, "doc_id", "tk")).select(rows["doc_id"], rows["tk"], named.alias("terms"))
-    found = small(stage(found.groupBy("doc_id", "tk").agg(F.first("terms").alias("terms")), "terms"), MAX_BROADCAST_ROWS)
+    found = small(stage(found.groupBy("doc_id", "tk").agg(F.first("terms").alias("terms")), "terms"), MAX_BROADCAST_ROWS, F.size("terms"))
     empty = F.array().cast("array<struct<start:int,k:int,end:int,value:string>>")
     return base.join(found, same(base, found, "doc_id", "tk"), "left").select(base["doc_id"], base["tk"], "base", F.coalesce("terms", empty).alias("terms"))
 
@@ -159,7 +159,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """The documents with findings replaced by [KIND] and disclosing terms generalised or removed; all columns stay."""
     found = spans(docs)
     found = found.where((F.size("base") > 0) | (F.size("terms") > 0)).dropDuplicates(["doc_id", "tk"])
-    found = small(stage(found.withColumnsRenamed({"doc_id": "__doc_id", "tk": "__found_tk", "base": "__base", "terms": "__terms"}), "spans"), MAX_BROADCAST_ROWS)
+    found = small(stage(found.withColumnsRenamed({"doc_id": "__doc_id", "tk": "__found_tk", "base": "__base", "terms": "__terms"}), "spans"), MAX_BROADCAST_ROWS, F.size("__base") + F.size("__terms"))
     mine = docs.withColumn("__tk", text_key())
     marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     base = F.transform("__base", lambda m: F.struct(m["start"].alias("start"), m["k"].alias("k"), m["end"].alias("end"), F.element_at(marks, m["k"] + 1).alias("value")))
