@@ -10,8 +10,8 @@ small and large is the one of least estimated cost: subsets written against list
    needs is one other class that holds it.  A task first aggregates its own classes, so a token that a third of all
    documents hold is one row per task, not one per document.
 3. The rest is ordered by exact (saturated) frequency, and cut to prefixes.
-4. Components come from verified links.  Sets that meet in lists are cut to blocks, each compared in itself and with
-   the typical set of its family; when components of those links are known, only blocks whose members share a list
+4. Components come from verified links.  Sets that meet in lists form families, cut to blocks, each compared in itself
+   and with the typical set of its family; when components of those links are known, only blocks whose members share a list
    across different components are compared with each other.  So a group of many near copies costs about its size,
    not its square, pairs are never written, and no link that could join two components is left out.
 
@@ -300,29 +300,30 @@ def _links(dealt: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _blocks(sigs: DataFrame) -> DataFrame:
-    """(sk, family, block): sets that meet in lists form families, named by a typical set; families are cut to blocks."""
-    typical = sigs.groupBy("sig").agg(F.min_by("sk", F.struct("lone", "sk")).alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    of = sigs.join(typical, "sig").groupBy("sk").agg(F.min("centre").alias("family"), F.first("n").alias("n"))
-    of = stage(of, "families")
-    for _ in range(3):  # a typical set has a typical set of its own: fewer, larger families
-        up = small(of.select(F.col("sk").alias("family"), F.col("family").alias("up")), MAX_BROADCAST_ROWS)
-        of = stage(of.join(up, "family", "left").select("sk", F.coalesce("up", "family").alias("family"), "n"), "families")
-    cut = of.groupBy("family").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_TOKENS)).cast("bigint").alias("blocks"))
-    return stage(of.join(cut, "family").select("sk", "family", F.xxhash64("family", F.pmod(F.xxhash64("sk"), F.col("blocks"))).alias("block")), "blocks")
+    """(sk, typical, block): sets that meet in lists, directly or through others, are a family; families are cut to blocks."""
+    centres = sigs.groupBy("sig").agg(F.min_by("sk", F.struct("lone", "sk")).alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    edges = sigs.join(centres, "sig").select(F.col("sk").alias("a"), F.col("centre").alias("b")).distinct()
+    family = small(stage(components(edges), "families"), MAX_BROADCAST_ROWS).withColumnsRenamed({"node": "sk", "component": "family"})
+    of = sigs.groupBy("sk").agg(F.first("n").alias("n"), F.first("lone").alias("lone")).join(family, "sk")
+    cut = of.groupBy("family").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_TOKENS)).cast("bigint").alias("blocks"), F.min_by("sk", F.struct("lone", "sk")).alias("typical"))
+    return stage(of.join(cut, "family").select("sk", "typical", F.xxhash64("family", F.pmod(F.xxhash64("sk"), F.col("blocks"))).alias("block")), "blocks")
 
 
 def _class_links(sigs: DataFrame, sets: DataFrame) -> DataFrame:
     """(node, component) of classes that have links: from blocks with their typical set, then across components."""
     blocks = _blocks(sigs)
-    own = blocks.select("block", "sk").unionByName(blocks.select("block", F.col("family").alias("sk"))).distinct()
+    own = blocks.select("block", "sk").unionByName(blocks.select("block", F.col("typical").alias("sk"))).distinct()
     edges = stage(_links(own.select(F.col("block").alias("ba"), F.col("block").alias("bb"), "sk", F.lit(2).alias("side"), F.col("sk").alias("comp")), sets), "block-links")
     comp = stage(components(edges), "components")
     lists = stage(_across(sigs, comp).join(small(blocks.select("sk", "block"), MAX_BROADCAST_ROWS), "sk"), "across")
-    ends = lists.groupBy("sig", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    other = ends.select("sig", F.col("block").alias("bb"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    meet = ends.withColumnRenamed("block", "ba").join(other, "sig").where((F.col("ba") < F.col("bb")) & ((F.col("lo") != F.col("hi2")) | (F.col("hi") != F.col("lo2")))).select("ba", "bb").distinct()
-    meet = stage(meet, "meet")
-    members = lists.select("block", "sk", "comp").distinct()
+    members = stage(lists.select("block", "sk", "comp").distinct(), "members")
+    # lists that meet in the same blocks ask for the same pairs of blocks once
+    together = lists.groupBy("sig").agg(F.array_sort(F.collect_set("block")).alias("met")).where(F.size("met") > 1).select("met").distinct()
+    pairs = F.flatten(F.transform("met", lambda a, i: F.transform(F.slice("met", i + 2, F.size("met")), lambda b: F.struct(a.alias("ba"), b.alias("bb")))))
+    meet = together.select(F.explode(pairs).alias("x")).select("x.ba", "x.bb").distinct()
+    ends = members.groupBy("block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    first, second = ends.withColumnsRenamed({"block": "ba"}), ends.withColumnsRenamed({"block": "bb", "lo": "lo2", "hi": "hi2"})
+    meet = stage(meet.join(first, "ba").join(second, "bb").where((F.col("lo") != F.col("hi2")) | (F.col("hi") != F.col("lo2"))).select("ba", "bb"), "meet")
     left = meet.join(members, meet["ba"] == members["block"]).select("ba", "bb", "sk", F.lit(0).alias("side"), "comp")
     right = meet.join(members, meet["bb"] == members["block"]).select("ba", "bb", "sk", F.lit(1).alias("side"), "comp")
     new = stage(_links(left.unionByName(right), sets), "across-links")
