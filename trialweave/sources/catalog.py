@@ -7,10 +7,10 @@ import re
 from pyspark.sql import SparkSession
 
 from ..model.table import Table, number_rows
-from . import cdt, dataset_json, delimited, normalise, transport
+from . import cdt, dataset_json, delimited, normalise, spreadsheet, transport
 
 #: Format of a file name, first match first.
-FORMATS = ((r"\.csv$|\.tsv$|\.txt$", "csv"), (r"\.parquet$", "parquet"), (r"\.ndjson$|\.dsjc$|\.json$", "dsj"), (r"\.xpt$", "xpt"), (r"\.cdt$", "cdt"))
+FORMATS = ((r"\.csv$|\.tsv$|\.txt$", "csv"), (r"\.parquet$", "parquet"), (r"\.ndjson$|\.dsjc$|\.json$", "dsj"), (r"\.xpt$", "xpt"), (r"\.cdt$", "cdt"), (r"\.xlsx$", "xlsx"))
 
 
 def format_of(path: str) -> str | None:
@@ -22,7 +22,7 @@ def _parquet(spark: SparkSession, path: str, **options) -> Table:
     return Table(number_rows(normalise.parquet(df)), path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0])
 
 
-READERS = {"csv": delimited.read, "parquet": _parquet, "dsj": dataset_json.read, "xpt": transport.read, "cdt": cdt.read}
+READERS = {"csv": delimited.read, "parquet": _parquet, "dsj": dataset_json.read, "xpt": transport.read, "cdt": cdt.read, "xlsx": spreadsheet.read}
 
 
 def read(spark: SparkSession, uri: str, **options) -> Table:
