@@ -35,7 +35,7 @@ from .textkit import SPACE_WORDS, batch_bytes, distinct_by_row, set_keys, shingl
 
 SHINGLE, THRESHOLD = 5, 75  # words; percent
 #: Prefix tokens gathered in a task before they are aggregated and shipped; frequency from which tokens rank alike.
-FLUSH, SATURATED = 500_000, 1024
+FLUSH, SATURATED = 250_000, 1024
 #: Rows up to which the chosen documents are broadcast to fetch their texts.
 MAX_BROADCAST_ROWS = 500_000
 #: Cost of comparing with one list entry inside a block, where writing and shuffling one subset costs 1.

@@ -150,7 +150,7 @@ def distinct_by_row(row: np.ndarray, value: np.ndarray, n_rows: int):
     return (np.concatenate(parts) if parts else value[:0]), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 1 << 20):
+def slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 1 << 19):
     """Sub-batches whose text takes about ``max_bytes`` (one longer row alone), so that numpy's copies stay bounded."""
     text = batch[column]
     sizes = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(text), 0), np.int64))
