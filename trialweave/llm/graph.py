@@ -10,6 +10,8 @@ from .common import drop_stage, stage
 
 #: Rounds after which the edges must have settled; each at least halves the depth, so this is never met.
 MAX_ROUNDS = 60
+#: Edges that a file of a staged round holds about: small graphs aren't written as one tiny file per shuffle partition.
+FILE_EDGES = 500_000
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -27,20 +29,23 @@ def _small(edges: DataFrame) -> DataFrame:
     return joined.select(F.col("v").alias("b"), F.col("m").alias("a")).union(least.select(F.col("u").alias("b"), F.col("m").alias("a"))).where("a <> b").distinct().select("a", "b")
 
 
+def _unsettled(edges: DataFrame) -> bool:
+    """Whether some node is a child twice, or both a child and a root: settled edges are stars around smallest nodes."""
+    ends = edges.select(F.col("b").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("a", F.lit(0), F.lit(1)))
+    return not ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1 and up > 0").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of the nodes of ``edges`` (a, b: bigint, not null); the component is its smallest node.
 
     Every step is a shuffle of the edges with partial minima; its result is staged in the shared folder.  Nothing is
-    collected but a count and a checksum per round.
+    collected but a count and a yes or no per round.
     """
     now = stage(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    before = None
     for _ in range(MAX_ROUNDS):
-        mark = tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
-        if mark == before or not mark[0]:
+        if not (held := now.count()) or not _unsettled(now):
             break
-        before = mark
-        after = stage(_small(_large(now)), "edges")
+        after = stage(_small(_large(now)).coalesce(held // FILE_EDGES + 1), "edges")
         drop_stage(now)
         now = after
     return now.select(F.col("b").alias("node"), F.col("a").alias("component")).union(now.select("a", "a")).distinct()
