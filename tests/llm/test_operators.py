@@ -274,6 +274,18 @@ def test_language(spark):
     assert {r["lang_pred"] for r in language.identify(d.select("doc_id", "text"), None).collect()} == {"und"}
 
 
+def test_language_learns_every_language(spark):
+    rng = random.Random(17)
+    names = [f"x{k:02d}" for k in range(77)] + ["de", "en", "nl"]
+    stems = {x: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=3)) for _ in range(6)] for x in names}
+    rows = [(i, " ".join("".join(rng.choices(stems[x], k=3)) for _ in range(40)), x) for i, x in enumerate(names * 15)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = language.identify(d, language.fit(d, sample=100)).withColumn("h", language.held_out()).collect()
+    assert len(got) == len(rows) and {r["lang_pred"] for r in got} == set(names)
+    test = [r for r in got if r["h"]]
+    assert len(test) > 150 and sum(r["lang_pred"] == r["lang"] for r in test) >= 0.95 * len(test)
+
+
 # 7
 
 

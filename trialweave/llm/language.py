@@ -5,8 +5,11 @@ vector machines separate the related languages.  Features are relative frequenci
 on letters of the whole text.  A prediction is a weighted mean over the text's trigrams, so that it needs one table
 look-up per byte and classifier: the corpus is read once, nothing is shuffled.
 
-Training uses a bounded sample: at most about ``SAMPLE`` labelled texts per language, chosen by a hash of doc_id,
-sent to the driver as ``DIM`` floats each; every other step covers all rows.
+Training uses a bounded sample: at most about ``SAMPLE`` labelled texts per language, chosen by a hash of doc_id, as
+``DIM`` floats each; every other step covers all rows.  Every labelled language is learned.  Up to ``FAN`` languages
+are fitted on the driver.  Where there are more, families are grouped by likeness until no node of the tree has more
+than ``FAN`` branches, and the nodes are fitted as Spark tasks, each on about ``SAMPLE`` texts a branch that its
+languages share evenly (``LEAST`` a language at least); the model then grows by about ``FAN / 2`` machines a language.
 
 Defined results: a null text or one without letters gives ``und`` with score 0.  Null lang is never trained on.
 Null doc_id counts as held out.  With no labelled row at all every text is ``und``; with one language every text
@@ -23,13 +26,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small, stage
 from .textkit import batch_bytes
 
 #: Labelled texts per language that the classifiers are fitted on, at most about.
 SAMPLE = 600
-#: Languages that can be told apart; rarer ones beyond are not learned (a report of 64 languages is ample).
-MAX_LANGS = 64
+#: Branches of a node of the tree, and languages fitted on the driver; the largest family has as many.
+FAN = 12
+#: Texts of a language, at least, that a node is fitted on where its branches hold many languages.
+LEAST = 4
 DIM = 4096
+#: Languages up to which their counts are broadcast.
+MAX_BROADCAST_ROWS = 200_000
 #: Penalty of the squared hinge loss, and passes of the dual coordinate descent.
 PENALTY, PASSES = 10.0, 30
 
@@ -126,7 +134,8 @@ class Hierarchy:
                 machines.append((level, a, b, (w * scale).astype(np.float32), bias))
         return cls(langs, machines)
 
-    def _vote(self, level: str, names: list[str], margins: dict) -> tuple[np.ndarray, np.ndarray]:
+    @staticmethod
+    def _vote(level: str, names: list[str], margins: dict) -> tuple[np.ndarray, np.ndarray]:
         """Winner by most duels won, then by summed margins; and its least certain duel."""
         n = len(next(iter(margins.values()))) if margins else 0
         wins, total = np.zeros((len(names), n)), np.zeros((len(names), n))
@@ -162,37 +171,200 @@ class Hierarchy:
         return out, 1.0 / (1.0 + np.exp(-3.0 * np.clip(score, -200, 200)))
 
 
+class Tree:
+    """One-versus-one machines at every node of a tree whose leaves are languages; a text goes down from node 0.
+
+    ``nodes``: the children of each node, a language or the number of a node.  ``machines``: those of each node, as
+    (child, child, weights, bias) by the children's places.
+    """
+
+    def __init__(self, nodes: list[list], machines: dict[int, list]):
+        self.nodes, self.machines = nodes, machines
+
+    @staticmethod
+    def grow(langs: list[str], centres: np.ndarray) -> list[list]:
+        """Families under the root; where they are more than FAN, like ones share a node."""
+        family: dict[str, list[int]] = {}
+        for i, lang in enumerate(langs):
+            family.setdefault(_FAMILY.get(lang, "\0" + lang), []).append(i)
+        groups = [family[f] for f in sorted(family)]
+        middle = np.stack([centres[g].mean(0) for g in groups])
+        nodes: list[list] = [[]]
+
+        def leaf(g):
+            if len(g) == 1:
+                return langs[g[0]]
+            nodes.append([langs[i] for i in g])
+            return len(nodes) - 1
+
+        def halves(part):
+            x = middle[part] - middle[part].mean(0)
+            axis = np.linalg.eigh(x @ x.T)[1][:, -1]
+            order = [part[i] for i in np.argsort(axis, kind="stable")]
+            return order[: len(order) // 2], order[len(order) // 2 :]
+
+        def fill(at, part):
+            if len(part) <= FAN:
+                nodes[at] = [leaf(groups[i]) for i in part]
+                return
+            parts = [part]
+            while len(parts) < min(FAN, -(-len(part) // FAN)):
+                parts.sort(key=len)
+                parts += halves(parts.pop())
+            for p in parts:
+                if len(p) == 1:
+                    nodes[at].append(leaf(groups[p[0]]))
+                else:
+                    nodes.append([])
+                    nodes[at].append(len(nodes) - 1)
+                    fill(len(nodes) - 1, p)
+
+        fill(0, list(range(len(groups))))
+        return nodes
+
+    def below(self, node) -> list[tuple[str, list[tuple[int, int]]]]:
+        """(language, (node, place of the child) from the given node down) of each language under it."""
+        out = []
+        for place, child in enumerate(self.nodes[node]):
+            if isinstance(child, str):
+                out.append((child, [(node, place)]))
+            else:
+                out += [(lang, [(node, place), *way]) for lang, way in self.below(child)]
+        return out
+
+    def predict(self, column) -> tuple[np.ndarray, np.ndarray]:
+        idx, offsets = trigrams(column)
+        n = len(offsets) - 1
+        out, score = np.empty(n, object), np.full(n, np.inf)
+
+        def down(node, rows):
+            size = offsets[rows + 1] - offsets[rows]
+            ends = np.concatenate([[0], np.cumsum(size)])
+            mine = idx[np.arange(ends[-1]) + np.repeat(offsets[rows] - ends[:-1], size)]
+            kids = self.nodes[node]
+            margins = {("", a, b): means(w, mine, ends) + bias for a, b, w, bias in self.machines.get(node, ())}
+            if margins:
+                best, sure = Hierarchy._vote("", list(range(len(kids))), margins)
+            else:
+                best, sure = np.zeros(len(rows), int), np.full(len(rows), np.inf)
+            score[rows] = np.minimum(score[rows], sure)
+            for place, child in enumerate(kids):
+                if len(there := rows[best == place]):
+                    if isinstance(child, str):
+                        out[there] = child
+                    else:
+                        down(child, there)
+
+        if n:
+            down(0, np.arange(n))
+        return out, 1.0 / (1.0 + np.exp(-3.0 * np.clip(score, -200, 200)))
+
+
 def held_out():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Hierarchy | None:
+def _features(batches):
+    """(lang, x) of the texts with letters."""
+    for b in batches:
+        idx, at = trigrams(b["text"])
+        rows = [(np.bincount(idx[at[i] : at[i + 1]], minlength=DIM) / max(at[i + 1] - at[i], 1)).astype(np.float32) for i in range(len(at) - 1)]
+        keep = np.flatnonzero(np.diff(at) > 0)
+        yield pa.record_batch({"lang": b["lang"].take(pa.array(keep)), "x": pa.array([rows[i].tobytes() for i in keep], pa.binary())})
+
+
+def _centres(batches):
+    """From rows sorted by lang: (lang, rows, sum of their features)."""
+    now, n, total = None, 0, None
+    for b in batches:
+        for lang, raw in zip(b["lang"].to_pylist(), b["x"].to_pylist(), strict=True):
+            if lang != now:
+                if n:
+                    yield pa.record_batch({"lang": [now], "n": pa.array([n], pa.int64()), "x": pa.array([total.tobytes()], pa.binary())})
+                now, n, total = lang, 0, np.zeros(DIM)
+            n += 1
+            total += np.frombuffer(raw, np.float32)
+    if n:
+        yield pa.record_batch({"lang": [now], "n": pa.array([n], pa.int64()), "x": pa.array([total.tobytes()], pa.binary())})
+
+
+def _fit_nodes(scale: np.ndarray):
+    """From rows sorted by node: (node, a, b, weights, bias) of all pairs of a node's children."""
+
+    def of(batches):
+        now, places, rows = None, [], []
+
+        def close():
+            x, y = np.stack([np.frombuffer(r, np.float32) for r in rows]) * scale, np.array(places)
+            for a, b in itertools.combinations(sorted(set(places)), 2):
+                pick = (y == a) | (y == b)
+                w, bias = fit_svm(x[pick], np.where(y[pick] == a, 1.0, -1.0))
+                yield pa.record_batch({"node": pa.array([now], pa.int32()), "a": pa.array([a], pa.int32()), "b": pa.array([b], pa.int32()), "w": pa.array([(w * scale).astype(np.float32).tobytes()], pa.binary()), "bias": pa.array([float(bias)])})
+
+        for part in batches:
+            for node, place, raw in zip(part["node"].to_pylist(), part["place"].to_pylist(), part["x"].to_pylist(), strict=True):
+                if node != now:
+                    if rows:
+                        yield from close()
+                    now, places, rows = node, [], []
+                places.append(place)
+                rows.append(raw)
+        if rows:
+            yield from close()
+
+    return of
+
+
+def _fit_tree(pool: DataFrame, sizes: DataFrame, sample: int) -> Hierarchy | Tree | None:
+    """The classifiers of many languages, fitted as Spark tasks; the driver gets a centre a language and the machines."""
+    spark = pool.sparkSession
+    share = F.least(F.lit(1.0), 1.2 * sample / F.col("n")) * float(1 << 40)
+    chosen = pool.join(small(sizes, MAX_BROADCAST_ROWS), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < share)
+    rows = stage(chosen.select("text", "lang").mapInArrow(_features, "lang string, x binary"), "language-sample")
+    found = rows.repartition("lang").sortWithinPartitions("lang").mapInArrow(_centres, "lang string, n bigint, x binary").collect()  # one row a language
+    if not found:
+        return None
+    found.sort(key=lambda r: r["lang"])
+    count = {r["lang"]: r["n"] for r in found}
+    sums = np.stack([np.frombuffer(r["x"], np.float64) for r in found])
+    scale = (1.0 / np.sqrt(sums.sum(0) / sum(count.values()) + 1e-4)).astype(np.float32)
+    tree = Tree(Tree.grow(list(count), sums / np.array(list(count.values()))[:, None] * scale), {})
+    ways = tree.below(0)
+    under: dict[tuple[int, int], int] = {}
+    for _, way in ways:
+        for step in way:
+            under[step] = under.get(step, 0) + 1
+    plan = [(lang, node, place, min(1.0, max(LEAST, 1.2 * sample / under[node, place]) / count[lang])) for lang, way in ways for node, place in way]
+    dealt = rows.join(F.broadcast(spark.createDataFrame(plan, "lang string, node int, place int, share double")), "lang")  # some rows a language
+    dealt = dealt.where(F.pmod(F.xxhash64("x", "node"), F.lit(1 << 40)) < F.col("share") * float(1 << 40))
+    dealt = dealt.select("node", "place", "x").repartition("node").sortWithinPartitions("node")
+    for r in dealt.mapInArrow(_fit_nodes(scale), "node int, a int, b int, w binary, bias double").toLocalIterator():
+        tree.machines.setdefault(r["node"], []).append((r["a"], r["b"], np.frombuffer(r["w"], np.float32), r["bias"]))
+    return tree
+
+
+def fit(docs: DataFrame, sample: int = SAMPLE) -> Hierarchy | Tree | None:
     """Fit on a bounded sample of the labelled documents that are not held out."""
     pool = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["n"] for r in pool.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
+    sizes = stage(pool.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    counts = {r["lang"]: r["n"] for r in sizes.orderBy(F.desc("n"), "lang").limit(FAN + 1).collect()}
     if not counts:
         return None
+    if len(counts) > FAN:
+        return _fit_tree(pool, sizes, sample)
     share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, int(min(1.0, 1.2 * sample / n) * (1 << 40)))])
     chosen = pool.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < share[F.col("lang")])
-
-    def features(batches):
-        for b in batches:
-            idx, at = trigrams(b["text"])
-            rows = [(np.bincount(idx[at[i] : at[i + 1]], minlength=DIM) / max(at[i + 1] - at[i], 1)).astype(np.float32) for i in range(len(at) - 1)]
-            keep = np.flatnonzero(np.diff(at) > 0)
-            yield pa.record_batch({"lang": b["lang"].take(pa.array(keep)), "x": pa.array([rows[i].tobytes() for i in keep], pa.binary())})
-
-    rows = chosen.select("text", "lang").mapInArrow(features, "lang string, x binary").limit(2 * sample * len(counts)).collect()
+    rows = chosen.select("text", "lang").mapInArrow(_features, "lang string, x binary").limit(2 * sample * len(counts)).collect()
     if not rows:
         return None
     return Hierarchy.fit(np.stack([np.frombuffer(r["x"], np.float32) for r in rows]), [r["lang"] for r in rows])
 
 
-def identify(docs: DataFrame, model: Hierarchy | None) -> DataFrame:
+def identify(docs: DataFrame, model: Hierarchy | Tree | None) -> DataFrame:
     """The documents with two more columns, lang_pred and score (replacing columns of those names)."""
     base = docs.drop("lang_pred", "score")
     schema = T.StructType([*base.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_LANGS languages: bounded
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # machines of the languages, no rows
 
     def of(batches):
         m = shared.value
