@@ -252,6 +252,16 @@ def test_urls_reject_impure_branch(spark):
     assert {r["template"] for r in got} == {"/spam/{n}", "/news/{n}"}
 
 
+def test_urls_deep_branches_keep_their_own(spark):
+    pages = [(i, f"http://h.example/2024/05/06/a/b/c/{'spam' if i % 2 else 'news'}/{i}") for i in range(200)]
+    pages += [(1000, "http://h.example/" + "/".join(f"s{chr(97 + k % 26)}" for k in range(300)))]
+    labels = [(i, i % 2) for i in range(0, 120)]
+    got = {r["page_id"]: r for r in urlrules.judge(spark.createDataFrame(pages, "page_id bigint, url string"), spark.createDataFrame(labels, "page_id bigint, bad int")).collect()}
+    assert all(got[i]["verdict"] == ("block" if i % 2 else "allow") for i in range(200))
+    assert {got[i]["template"][-9:] for i in range(200)} == {"/spam/{n}", "/news/{n}"}
+    assert got[1000]["template"].count("/") == 300
+
+
 # 6
 
 

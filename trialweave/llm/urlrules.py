@@ -3,13 +3,13 @@
 1. A path's segments are typed: digits become ``{n}``, long hexadecimal runs ``{id}``.
 2. The tree of typed segments is walked from the host down.  Of a node's children, those that are statistically like
    the node's other children (a two-proportion test on labelled bad pages) are merged into one wildcard branch ``*``;
-   only branches that differ significantly keep their own.  Segments deeper than ``DEPTH`` are one wildcard ``**``.
+   only branches that differ significantly keep their own.  The walk ends where a node holds one typed path only.
 3. A template's share of bad labels is smoothed by its host's, and the host's by the whole table's; a template whose
    smoothed share reaches ``REJECT`` is blocked.
 4. Explicit rules (host with all its subdomains, path prefix) come first; the longest that fits wins.
 
 Scale: pages are counted once into (host, typed path) rows with map-side partial sums; the tree is built on those by
-one small shuffle per level; pages meet their template's verdict by one join on (host, typed path) that adaptive
+one small shuffle per level that two paths share; pages meet their template's verdict by one join on (host, typed path) that adaptive
 execution splits where a host holds most rows.
 
 Defined results: a null url, or one without ``://``, has an empty host and path (and may still be judged by the
@@ -20,6 +20,9 @@ all every template is allowed.
 
 from __future__ import annotations
 
+import itertools
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,6 +31,7 @@ from .common import small, stage, table
 
 #: (verdict, host, path prefix)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+#: Levels that the SQL spells out, deeper ones being one wildcard ``**`` there; here the tree has no such bound.
 DEPTH = 4
 #: Two-sided 5 % point of the normal distribution; weight of the parent's share; smoothed bad share that is rejected.
 Z, PRIOR, REJECT = 1.96, 5.0, 0.5
@@ -56,30 +60,39 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def typed_path(path: Column) -> Column:
-    """Array of DEPTH + 1 typed segments at most; the last stands for all that is deeper."""
+    """Array of all typed segments."""
     p = F.regexp_replace(F.regexp_replace(path, "[0-9a-fA-F]{16,}", "{id}"), "[0-9]+", "{n}")
-    parts = F.filter(F.split(p, "/"), lambda s: s != "")
-    return F.when(F.size(parts) > DEPTH, F.concat(F.slice(parts, 1, DEPTH), F.array(F.lit("**")))).otherwise(parts)
+    return F.filter(F.split(p, "/"), lambda s: s != "")
 
 
 def templates(counted: DataFrame) -> DataFrame:
     """(host, typed, template, bad_share) from (host, typed, n, labelled, bad)."""
-    tree = counted.withColumn("node", F.lit(""))
-    for d in range(1, DEPTH + 2):
+    tree, done = counted.select("host", "typed", "labelled", "bad", F.lit("").alias("node")), []
+    for d in itertools.count(1):
         child = F.coalesce(F.get(F.col("typed"), F.lit(d - 1)), F.lit("$"))
         tree = tree.withColumn("child", child)
-        kids = tree.groupBy("host", "node", "child").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
+        kids = tree.groupBy("host", "node", "child").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"), F.count(F.lit(1)).alias("paths"), F.max(F.size("typed")).alias("deep"))
         node = Window.partitionBy("host", "node")
         kids = kids.withColumn("node_l", F.sum("l").over(node)).withColumn("node_b", F.sum("b").over(node)).withColumn("kids", F.count(F.lit(1)).over(node))
+        kids = kids.withColumn("over", (F.sum("paths").over(node) == 1) | (F.max("deep").over(node) < d))
         rest_l, rest_b = F.col("node_l") - F.col("l"), F.col("node_b") - F.col("b")
         share = F.col("node_b") / F.greatest(F.col("node_l"), F.lit(1))
         spread = F.sqrt(share * (1 - share) * (1 / F.greatest(F.col("l"), F.lit(1)) + 1 / F.greatest(rest_l, F.lit(1))))
         apart = (F.col("l") > 0) & (rest_l > 0) & (F.abs(F.col("b") / F.greatest(F.col("l"), F.lit(1)) - rest_b / F.greatest(rest_l, F.lit(1))) > Z * spread)
         own = apart | (F.col("kids") == 1) | (F.col("child") == "$")
-        kids = stage(kids.select("host", "node", "child", F.when(own, F.col("child")).otherwise("*").alias("label")), f"tree-{d}")
+        kids = stage(kids.select("host", "node", "child", F.when(own, F.col("child")).otherwise("*").alias("label"), "over"), f"tree-{d}")
         kids = small(kids, MAX_BROADCAST_ROWS)
         step = F.when(F.col("label") == "$", F.col("node")).otherwise(F.concat("node", F.lit("/"), "label"))
-        tree = tree.join(kids, ["host", "node", "child"]).withColumn("next", step).drop("node", "child", "label").withColumnRenamed("next", "node")
+        # of a path alone at its node every deeper segment would keep its own branch
+        left = F.filter(F.slice("typed", d, F.greatest(F.size("typed") - (d - 1), F.lit(0))), lambda s: s != "$")
+        alone = F.concat("node", F.array_join(F.transform(left, lambda s: F.concat(F.lit("/"), s)), ""))
+        tree = tree.join(kids, ["host", "node", "child"]).select("host", "typed", "labelled", "bad", F.when(F.col("over"), alone).otherwise(step).alias("node"), "over")
+        tree = stage(tree, f"paths-{d}")
+        done.append(tree.where("over").drop("over"))
+        tree = tree.where("NOT over").drop("over")
+        if tree.isEmpty():
+            break
+    tree = reduce(DataFrame.unionByName, done)
     leaf = tree.withColumnRenamed("node", "template")
     sums = leaf.groupBy("host", "template").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
     hosts = sums.groupBy("host").agg(F.sum("l").alias("hl"), F.sum("b").alias("hb"))
