@@ -101,6 +101,29 @@ def test_child_and_relrec(spark):
     assert merge_relrec(ae, {"CM": cm}, rel, how="inner").df.count() == 2
 
 
+def test_pointers_beyond_the_name_limit(spark, monkeypatch):
+    from trialweave.operators import merge
+
+    monkeypatch.setattr(merge, "MAX_NAMES", 1)
+    ae = make(spark, AE)
+    head = "col STUDYID type=Char\ncol RDOMAIN type=Char\ncol USUBJID type=Char\ncol IDVAR type=Char\ncol IDVARVAL type=Char\n"
+    co = make(spark, f"dataset CO\n{head}---\nS | AE | 1 | AESEQ | 02\nS | AE | 2 | AESPID | c\n---\n")
+    assert [r["AE.AESPID"] for r in merge_child(co, {"AE": ae}).df.orderBy(ROW).collect()] == ["b", "c"]
+    supp = make(spark, f"dataset SUPPAE\n{head}col QNAM type=Char\ncol QVAL type=Char\n---\nS | AE | 1 | AESEQ | 2 | Q | y\nS | AE | 2 | AESPID | c | Q | z\n---\n")
+    assert [r["Q"] for r in merge_supp(ae, supp).df.orderBy(ROW).collect()] == [None, "y", "z"]
+    lost = make(spark, f"dataset CO\n{head}---\nS | AE | 1 | NONE1 | 02\nS | AE | 2 | NONE2 | c\n---\n")
+    with pytest.raises(merge.MergeError, match="more than 1"):
+        merge_child(lost, {"AE": ae})
+
+
+def test_relrec_inner_keeps_addressed_rows(spark):
+    ae = make(spark, AE)
+    cm = make(spark, "dataset CM\ncol STUDYID type=Char\ncol USUBJID type=Char\ncol CMSEQ type=Num\n---\nS | 1 | 7\n---\n")
+    rel = make(spark, "dataset RELREC\ncol STUDYID type=Char\ncol RDOMAIN type=Char\ncol USUBJID type=Char\ncol IDVAR type=Char\ncol IDVARVAL type=Char\ncol RELID type=Char\n---\nS | AE | 1 | AESEQ | 1 | R1\nS | CM | 1 | CMSEQ | 7 | R1\nS | AE | 1 | AESEQ | 2 | R2\nS | CM | 1 | CMSEQ | 99 | R2\n---\n")
+    got = merge_relrec(ae, {"CM": cm}, rel, how="inner").df.orderBy(ROW).collect()
+    assert [(r["AESPID"], r["CM.CMSEQ"], r["RELREC._matched_"]) for r in got] == [("a", 7.0, True), ("b", None, False)]
+
+
 def test_union_and_content(spark):
     a = make(spark, "dataset A\ncol X type=Num\ncol Y type=Char\n---\n1 | p\n---\n")
     b = make(spark, "dataset B\ncol y type=Char\ncol Z type=Num\n---\nq | .C\n---\n")

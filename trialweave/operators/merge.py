@@ -19,7 +19,7 @@ from .relational import is_blank_column, union
 
 MATCHED = "_matched_"
 SUBJECTS = ("USUBJID", "APID", "POOLID", "SPDEVID")
-#: Most qualifier names, pointer columns or related domains that become columns of one result.
+#: Most qualifier names, and pointers to columns or datasets that do not exist, of one merge; more are refused.
 MAX_NAMES = 2000
 
 
@@ -183,6 +183,17 @@ def is_row_mapped(t: Table) -> Column:
     return (F.count(F.lit(1)) != F.count_distinct(ROW)) | (F.max(ROW) + 1 != F.count_distinct(ROW))
 
 
+def _refuse_many(found: list, what: str) -> list:
+    """What was collected up to MAX_NAMES + 1, if it is not more than MAX_NAMES."""
+    if len(found) > MAX_NAMES:
+        raise MergeError(f"more than {MAX_NAMES} {what}")
+    return found
+
+
+def _upper_names(*tables: Table) -> list[str]:
+    return sorted({c.upper() for t in tables for c in t.columns})
+
+
 def merge_child(child: Table, parents: dict[str, Table], keys: list[str] = ("STUDYID", "USUBJID"), send: bool = False, fixed_parent: str | None = None) -> Merged:
     """Child rows with the parent rows that (RDOMAIN, IDVAR, IDVARVAL) point at, one part per parent domain.
 
@@ -191,7 +202,14 @@ def merge_child(child: Table, parents: dict[str, Table], keys: list[str] = ("STU
     """
     issues: list[str] = []
     domain = F.lit(fixed_parent) if fixed_parent else F.upper(strip(child.col("RDOMAIN")))
-    pointers = child.df.select(domain.alias("d"), F.upper(strip(child.col("IDVAR"))).alias("v"), F.col(ROW)).groupBy("d", "v").agg(F.min(ROW).alias("first")).orderBy("first").limit(MAX_NAMES).collect()
+    pointers = child.df.select(domain.alias("d"), F.upper(strip(child.col("IDVAR"))).alias("v"), F.col(ROW)).groupBy("d", "v").agg(F.min(ROW).alias("first"))
+    real = F.lit(False)
+    for d, t in parents.items():
+        real = real | ((F.col("d") == d) & (F.coalesce(F.col("v"), F.lit("")) == "")) | ((F.col("d") == d) & F.col("v").isin(*_upper_names(t)))
+    real = F.coalesce(real, F.lit(False))
+    strange = pointers.where(~real & (F.col("d") != "")).orderBy("first").limit(MAX_NAMES + 1).collect()
+    pointers = pointers.where(real).collect() + _refuse_many(strange, "pointers to no dataset or column")  # real ones: the parents' columns at most
+    pointers.sort(key=lambda r: r["first"])
     names: dict[str, list[str]] = {}
     for r in pointers:
         if r["d"]:
@@ -255,6 +273,27 @@ def _addressable(t: Table, columns: list[str]) -> DataFrame:
     return t.df.select(F.col(ROW).alias("row"), subject.alias("subject"), study.alias("study"), F.explode(F.array(*tokens)).alias("t")).select("row", "subject", "study", "t.*").where("token <> ''")
 
 
+def _link_columns(links: DataFrame, *tables: Table) -> list[str]:
+    """The pointer columns that some table has: no more than the tables' columns."""
+    return [r["idvar"] for r in links.where(F.col("idvar").isin(*_upper_names(*tables))).select("idvar").distinct().collect()]
+
+
+def _canonical(column: str, numeric: list[str]) -> Column:
+    return F.when(F.col("idvar").isin(*numeric), join_token(F.col(column), True)).otherwise(join_token(F.col(column), False)) if numeric else join_token(F.col(column), False)
+
+
+def relrec_addressed(primary: Table, relrec: Table, send: bool = False, relids: list[str] | None = None) -> DataFrame:
+    """(row) of the primary rows that some link addresses, whether or not its partner is found."""
+    links = relrec_links(relrec, send).where(F.col("domain") == primary.name.upper())
+    if relids:
+        links = links.where(F.col("relid").isin(*relids))
+    columns = _link_columns(links, primary)
+    links = links.withColumn("to", _canonical("idvarval", [c for c in columns if primary.kind(c) != "STRING"])).select(F.col("idvar").alias("v"), "idvarval", "to", F.col("subject").alias("of"), F.col("study").alias("in"))
+    record = (F.col("idvarval") != "") & (F.col("to") == F.col("token")) & ((F.col("of") == F.col("subject")) | (F.col("of") == "")) & ((F.col("in") == F.col("study")) | (F.col("in") == "") | (F.col("study") == ""))
+    whole = (F.col("idvarval") == "") & ((F.col("in") == F.col("study")) | (F.col("in") == ""))
+    return _addressable(primary, columns).join(links, (F.col("idvar") == F.col("v")) & (record | whole), "left_semi").select("row").distinct()
+
+
 def relrec_pairs(primary: Table, related: dict[str, Table], relrec: Table, send: bool = False, domains: list[str] | None = None, relids: list[str] | None = None) -> DataFrame:
     """(row, domain, related_row, rel, rel_first): pairs of a primary row and a related row, distinct.
 
@@ -264,7 +303,7 @@ def relrec_pairs(primary: Table, related: dict[str, Table], relrec: Table, send:
     links = relrec_links(relrec, send)
     if relids:
         links = links.where(F.col("relid").isin(*relids))
-    columns = [r["idvar"] for r in links.select("idvar").distinct().limit(MAX_NAMES).collect() if r["idvar"]]
+    columns = _link_columns(links, primary, *related.values())
     numeric = lambda t: [c for c in columns if t.find(c) and t.kind(c) != "STRING"]
     me = primary.name.upper()
     canonical = lambda c, names: F.when(F.col("idvar").isin(*names), join_token(F.col(c), True)).otherwise(join_token(F.col(c), False)) if names else join_token(F.col(c), False)
@@ -291,7 +330,10 @@ def relrec_pairs(primary: Table, related: dict[str, Table], relrec: Table, send:
 
 
 def merge_relrec(primary: Table, related: dict[str, Table], relrec: Table, how: str = "left", send: bool = False, **selection) -> Merged:
-    """Primary rows with related rows: per relationship the cross product over domains, equal tuples once."""
+    """Primary rows with related rows: per relationship the cross product over domains, equal tuples once.
+
+    ``how="inner"`` drops the rows that no link addresses; addressed rows without a partner stay.
+    """
     pairs = relrec_pairs(primary, related, relrec, send, **selection)
     names = [d for d in (n.upper() for n in related) if d != primary.name.upper()]
     tuples = None
@@ -300,7 +342,11 @@ def merge_relrec(primary: Table, related: dict[str, Table], relrec: Table, how:
         tuples = one if tuples is None else tuples.join(one, ["row", "rel"], "full_outer")
     rows = [f"__row_{d}" for d in names]
     tuples = tuples.select(F.col("row").alias(ROW), *rows).distinct()
-    out = primary.df.join(tuples, ROW, "inner" if how == "inner" else "left")
+    out = primary.df
+    if how == "inner":
+        addressed = relrec_addressed(primary, relrec, send, selection.get("relids")).select(F.col("row").alias(ROW))
+        out = out.join(addressed.unionByName(tuples.select(ROW)).distinct(), ROW, "left_semi")
+    out = out.join(tuples, ROW, "left")
     for n, t in related.items():
         d = n.upper()
         if d not in names:
@@ -337,7 +383,10 @@ def merge_supp(base: Table, *supp: Table, send: bool = False, keys: list[str] =
         subject = subject | ~blank(s, k)
     level = F.when(idvar == "", F.when(subject, "SUBJECT")).when(value == "", None).when(~subject, F.when(F.lit(send or not subjects), "STUDY")).otherwise("RECORD")
     rows = s.df.select(F.col(ROW).alias("srow"), strip(s.col("QNAM")).alias("q"), s.col("QVAL").alias("v"), idvar.alias("idvar"), value.alias("value"), level.alias("level"), *[tag(s, k).alias(f"k{i}") for i, k in enumerate(shared)]).where(F.col("level").isNotNull() & F.col("q").isin(*use) if use else F.lit(False))
-    columns = [r["idvar"] for r in rows.where("level <> 'SUBJECT'").select("idvar").distinct().limit(MAX_NAMES).collect()]
+    pointed = rows.where("level <> 'SUBJECT'").select("idvar").distinct()
+    real = F.col("idvar").isin(*_upper_names(base))
+    columns = [r["idvar"] for r in pointed.where(real).collect()]  # the base's columns at most
+    columns += _refuse_many([r["idvar"] for r in pointed.where(~real).orderBy("idvar").limit(MAX_NAMES + 1).collect()], "pointers to no column")
     issues += [f"{c}: no such column" for c in columns if not base.find(c)]
     held = [c for c in columns if base.find(c)]
     numeric = [c for c in held if base.kind(c) != "STRING"]
