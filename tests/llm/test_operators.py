@@ -231,6 +231,17 @@ def test_jaccard_empty_and_dedup(spark, docs):
     assert {r["doc_id"] for r in kept.collect() if r["doc_id"] is not None} == want
 
 
+def test_dedup_leaves_one_row_a_group(spark):
+    rng = random.Random(23)
+    near = lambda base: " ".join([*base[:-1], f"edit{rng.randrange(10**6)}"])
+    rows = []
+    for ids in ([None, None, None], [None, 4, None], [7, 7, 7], [9, 8, None], [7, 7]):
+        base = words(rng, 80, 100000)
+        rows += [(i, near(base)) for i in ids]
+    kept = [r["doc_id"] for r in jaccard.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()]
+    assert sorted(kept, key=repr) == sorted([None, 4, 7, 8, 7], key=repr)
+
+
 # 5
 
 

@@ -369,21 +369,26 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return measured, _class_links(sigs, sets)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per input row: doc_id, tk, n_shingles, component_id."""
+def _grouped(docs: DataFrame) -> DataFrame:
+    """One row per input row: doc_id, tk, n and ``least`` (absent, doc_id, tk), the least row of its component, null for empty sets."""
     measured, linked = classes(docs)
     linked = small(stage(linked, "linked"), MAX_BROADCAST_ROWS)
     named = measured.join(linked.withColumnRenamed("node", "sk"), "sk", "left").withColumn("component", F.coalesce("component", "sk"))
-    least = named.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
-    least = stage(least, "least")
-    out = named.join(least, "component", "left")
-    return out.select("doc_id", "tk", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    row = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "tk")
+    least = stage(named.where("n > 0").groupBy("component").agg(F.min(row).alias("least")), "least")
+    return named.join(least, "component", "left").select("doc_id", "tk", "n", F.when(F.col("n") > 0, F.col("least")).alias("least"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row per input row: doc_id, tk, n_shingles, component_id."""
+    return _grouped(docs).select("doc_id", "tk", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least.doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One document of each group stays: that of the smallest doc_id (null doc_id and repeated rows: one row)."""
-    found = near_duplicates(docs)
-    gone = found.where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select("doc_id", "tk").distinct()
+    """One row of each group stays: that of the smallest doc_id (null ones last), of equal ids that of the smallest text key."""
+    found = _grouped(docs)
+    stays = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("tk") == F.col("least.tk"))
+    gone = found.where((F.col("n") > 0) & ~stays).select("doc_id", "tk").distinct()
     gone = small(stage(gone, "gone"), MAX_BROADCAST_ROWS)
     mine = docs.withColumn("__tk", text_key())
     kept = mine.join(gone, (mine["__tk"] == gone["tk"]) & mine["doc_id"].cast("bigint").eqNullSafe(gone["doc_id"]), "left_anti")
