@@ -335,6 +335,24 @@ def test_chat_detects_rewritten_history():
     assert [bad for _, bad in chat.spans(Forgetful().render, [], [("user", "a"), ("assistant", "b"), ("user", "c")])] == [False, True, True]
 
 
+def test_chat_whole_prefixes_of_long_conversations(spark):
+    class Dropping(chat.InstTemplate):
+        """Turns older than 70 are dropped to a mark: history is rewritten beyond any chunk."""
+
+        def render(self, messages):
+            return super().render([(r, t if i >= len(messages) - 70 else "-") for i, (r, t) in enumerate(messages)])
+
+    turns = [("assistant" if k % 2 else "user", f"text {k}") for k in range(150)]
+    d = spark.createDataFrame([(c, k, r, t) for c in (1, None) for k, (r, t) in enumerate(turns)], "conv_id bigint, turn bigint, role string, text string").repartition(3)
+    got = chat.format_conversations(d, Dropping()).collect()
+    want = list(chat.spans(Dropping().render, [], turns))
+    for c in (1, None):
+        mine = sorted((r for r in got if r["conv_id"] == c), key=lambda r: r["seq"])
+        assert [(r["piece"], r["rewrites"]) for r in mine] == want
+        assert [r["start"] for r in mine] == [len(Dropping().render(turns[: k + 1])) - len(piece) for k, (piece, _) in enumerate(want)]
+    assert sum(bad for _, bad in want) == 80
+
+
 # 8
 
 

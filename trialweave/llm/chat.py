@@ -4,12 +4,13 @@ A template is a black box ``render(messages) -> str``.  Successive turn prefixes
 the one before it is the turn's span.  A template whose next output does not start with the previous one rewrites
 history: such turns are flagged and their span begins where the two outputs part.
 
-To stay linear on conversations of any length, prefixes are rendered inside chunks of ``CHUNK`` turns that start one
-turn early: a turn is rendered with up to ``CHUNK`` predecessors as context, at least one.  Conversations of up to
-``CHUNK`` turns are rendered from their first turn.
+A template of which nothing is known is rendered on whole prefixes: a conversation's turns are dealt in ranges of
+``CHUNK``, each to a task with all turns before it, so the cost grows with the square of a conversation's length.
 
-Rows are dealt by conversation and sorted by turn; a task streams through them and holds one chunk, never a whole
-conversation, so one conversation may hold any share of the rows.
+A template whose own class declares ``memoryless = True`` (a turn's output depends on that turn only) is rendered in
+chunks of ``CHUNK`` turns that start one turn early.  Rows are then dealt by conversation and sorted by turn; a task
+streams through them and holds one chunk, never a whole conversation, so one conversation may hold any share of the
+rows, at linear cost.
 
 Defined results: null text or role is empty.  Null conv_id is a conversation of its own.  Rows of equal (conversation,
 turn) follow each other by role, then text; repeated rows are repeated turns; null turns come first.  An empty table
@@ -24,6 +25,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Turns rendered together.
 CHUNK = 64
@@ -34,6 +36,7 @@ LOSS_ROLES = ("assistant",)
 class InstTemplate:
     """``<s>[INST role]`` text ``[/INST]</s>``; ``\\``, ``<`` and ``[`` of texts are escaped, so no control string survives in one."""
 
+    memoryless = True
     OPEN, AFTER_ROLE, CLOSE = "<s>[INST ", "]\n", "\n[/INST]</s>\n"
 
     @staticmethod
@@ -80,7 +83,10 @@ def format_conversations(rows: DataFrame, template=None, chunk: int = CHUNK) ->
     unless the role is one that is learned.
     """
     template = template or InstTemplate()
+    memoryless = vars(type(template)).get("memoryless", False)  # not inherited: a subclass may render otherwise
     part = rows.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    if not memoryless:
+        return _whole_prefixes(part, template, chunk)
     dealt = part.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     fields = pa.schema([("conv_id", pa.int64()), ("seq", pa.int64()), ("role", pa.string()), ("piece", pa.string()), ("start", pa.int64()), ("loss_start", pa.int64()), ("loss_end", pa.int64()), ("rewrites", pa.bool_())])
 
@@ -115,6 +121,42 @@ def format_conversations(rows: DataFrame, template=None, chunk: int = CHUNK) ->
     return dealt.mapInArrow(of, "conv_id bigint, seq bigint, role string, piece string, start bigint, loss_start bigint, loss_end bigint, rewrites boolean")
 
 
+def _whole_prefixes(part: DataFrame, template, chunk: int) -> DataFrame:
+    """The rows of format_conversations by whole prefixes; ``start`` is the piece's place in the prefix that ends with it."""
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    numbered = part.withColumn("seq", F.row_number().over(order).cast("bigint") - 1)
+    numbered = numbered.withColumn("last", F.max("seq").over(Window.partitionBy("conv_id")))
+    ranges = F.sequence(F.floor(F.col("seq") / chunk), F.floor(F.col("last") / chunk))
+    dealt = numbered.select("conv_id", "seq", "role", "text", F.explode(ranges).alias("range")).repartition("conv_id", "range").sortWithinPartitions("conv_id", "range", "seq")
+    fields = pa.schema([("conv_id", pa.int64()), ("seq", pa.int64()), ("role", pa.string()), ("piece", pa.string()), ("start", pa.int64()), ("loss_start", pa.int64()), ("loss_end", pa.int64()), ("rewrites", pa.bool_())])
+
+    def of(batches):
+        now, prefix, before, out = None, [], None, []
+        for b in batches:
+            for conv, at, seq, role, text in zip(*(b[c].to_pylist() for c in ("conv_id", "range", "seq", "role", "text")), strict=True):
+                if (conv, at) != now:
+                    now, prefix, before = (conv, at), [], None
+                if seq < at * chunk:
+                    prefix.append((role, text))
+                    continue
+                if before is None:
+                    before = template.render(list(prefix))
+                prefix.append((role, text))
+                after = template.render(list(prefix))
+                rewrites = not after.startswith(before)
+                same = next((i for i, (x, y) in enumerate(zip(before, after)) if x != y), min(len(before), len(after))) if rewrites else len(before)
+                piece, before = after[same:], after
+                a, e = template.content_span(piece) if role in LOSS_ROLES else (0, 0)
+                out.append({"conv_id": conv, "seq": seq, "role": role, "piece": piece, "start": same, "loss_start": same + a, "loss_end": same + e, "rewrites": rewrites})
+                if len(out) >= 1000:
+                    yield pa.RecordBatch.from_pylist(out, fields)
+                    out.clear()
+        yield pa.RecordBatch.from_pylist(out, fields)
+
+    made = dealt.mapInArrow(of, "conv_id bigint, seq bigint, role string, piece string, start bigint, loss_start bigint, loss_end bigint, rewrites boolean")
+    return made.repartition("conv_id").sortWithinPartitions("conv_id", "seq")
+
+
 def read_back(formatted: DataFrame, template=None) -> DataFrame:
     """Per conversation, what its formatted text says: digests of all turns and of the text under the loss mask."""
     template = template or InstTemplate()
