@@ -172,6 +172,20 @@ def test_proximity(spark):
     assert sorted((r["item_id"], r["doc_id"], r["at"]) for r in got) == [("7", 1, 0), ("7", 2, 0)]
 
 
+def test_proximity_of_all_phrases(spark):
+    d = spark.createDataFrame([(1, "alpha x beta"), (2, "gamma delta")], "doc_id bigint, text string")
+    asked = spark.createDataFrame([(7, "alpha beta"), (7, "delta gamma"), (None, "alpha"), (None, "delta"), (8, None)], "item_id bigint, text string")
+    for block in (decontaminate.MAX_WINDOWS, 2):
+        got = decontaminate.proximity(d, asked, 5, block).collect()
+        assert sorted((r["item_id"], r["doc_id"], r["at"]) for r in got) == [("", 1, 0), ("", 2, 1), ("7", 1, 0), ("7", 2, 0)]
+
+
+def test_wide_headers_keep_all_columns():
+    from trialweave.sources import delimited
+
+    assert len(delimited.header([f"c{i}" for i in range(5000)])) == 5000
+
+
 # 4
 
 

@@ -174,21 +174,33 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, lists: in
     return out
 
 
-def proximity(docs: DataFrame, phrases: DataFrame, span: int) -> DataFrame:
-    """(item_id, doc_id, at): the first place where all words of a phrase lie within ``span`` words, in any order.
+def proximity(docs: DataFrame, phrases: DataFrame, span: int, max_phrases: int = MAX_WINDOWS) -> DataFrame:
+    """(item_id, doc_id, at): per phrase, the first place where all its words lie within ``span`` words, in any order.
 
-    ``phrases`` (item_id, text) are a stated query set: at most MAX_WINDOWS of them.
+    ``phrases`` (item_id, text) are searched in blocks of about ``max_phrases``; an item may have several.
     """
     spark = docs.sparkSession
-    asked = {r["item"]: sorted(set(split_words(r["text"]))) for r in phrases.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").limit(MAX_WINDOWS).toLocalIterator()}
-    rows = [(i, t, len(ts)) for i, ts in asked.items() for t in ts]
-    if not rows:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    asked = phrases.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), text.alias("text")).distinct()
+    asked = stage(asked.withColumn("phrase", F.sha2(F.concat_ws("\0", "item", "text"), 256)), "phrases")
+    blocks = math.ceil(asked.count() / max_phrases)
+    parts = []
+    for block in range(blocks):
+        mine = asked.where(F.pmod(F.xxhash64("phrase"), F.lit(blocks)) == block).toLocalIterator()
+        rows = [(r["item"], r["phrase"], t, len(ts)) for r in mine if (ts := sorted(set(split_words(r["text"])))) for t in ts]
+        if not rows:
+            continue
+        plan = F.broadcast(spark.createDataFrame(rows, "item_id string, phrase string, term binary, need int"))
+        at = postings(_keyed(docs), {x[2] for x in rows}).join(plan, "term").select("item_id", "phrase", "doc_id", "tk", "need", "term", F.explode("positions").alias("p"))
+        w = Window.partitionBy("phrase", "doc_id", "tk").orderBy("p").rangeBetween(0, span - 1)
+        near = at.withColumn("have", F.size(F.collect_set("term").over(w))).where("have = need")
+        parts.append(near.groupBy("item_id", "phrase", "doc_id", "tk").agg(F.min("p").alias("at")).select("item_id", "doc_id", "at"))
+    if not parts:
         return spark.createDataFrame([], "item_id string, doc_id bigint, at int")
-    plan = F.broadcast(spark.createDataFrame(rows, "item_id string, term binary, need int"))
-    at = postings(_keyed(docs), {x[1] for x in rows}).join(plan, "term").select("item_id", "doc_id", "tk", "need", "term", F.explode("positions").alias("p"))
-    w = Window.partitionBy("item_id", "doc_id", "tk").orderBy("p").rangeBetween(0, span - 1)
-    near = at.withColumn("have", F.size(F.collect_set("term").over(w))).where("have = need")
-    return near.groupBy("item_id", "doc_id", "tk").agg(F.min("p").alias("at")).select("item_id", "doc_id", "at")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -43,5 +43,5 @@ def register(name: str, pattern: str, reader) -> None:
 
 def folder(spark: SparkSession, path: str) -> dict[str, str]:
     """Members of a folder: name -> URI of every file that a reader takes."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path).select("path").orderBy("path").limit(10_000).collect()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path).select("path").orderBy("path").toLocalIterator()
     return {r["path"].rsplit("/", 1)[-1].rsplit(".", 1)[0]: r["path"] for r in files if format_of(r["path"])}

@@ -14,7 +14,7 @@ from ..functions.values import is_sentinel, sentinel_code, strip
 from ..model.table import ROW, Table, mis
 from .normalise import RULES, text_cell, text_number_cells
 
-GUESS, MAX_COLUMNS, CANDIDATES = 10_240, 4096, ",\t;"
+GUESS, CANDIDATES = 10_240, ",\t;"
 
 
 def records(text: str, delimiter: str, quote: str = '"', escape: str = '"'):
@@ -60,7 +60,7 @@ def detect(line: str, quote: str = '"') -> str:
 def header(cells: list[str]) -> list[str]:
     """Column names: blank ones V<n>, repeated ones _2, _3 (whatever their case)."""
     out, seen = [], set()
-    for i, c in enumerate(cells[:MAX_COLUMNS], 1):
+    for i, c in enumerate(cells, 1):
         base = c.strip() or f"V{i}"
         name, k = base, 1
         while name.lower() in seen:
