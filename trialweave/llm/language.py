@@ -5,11 +5,12 @@ vector machines separate the related languages.  Features are relative frequenci
 on letters of the whole text.  A prediction is a weighted mean over the text's trigrams, so that it needs one table
 look-up per byte and classifier: the corpus is read once, nothing is shuffled.
 
-Training uses a bounded sample: at most about ``SAMPLE`` labelled texts per language, chosen by a hash of doc_id, as
-``DIM`` floats each; every other step covers all rows.  Every labelled language is learned.  Up to ``FAN`` languages
-are fitted on the driver.  Where there are more, families are grouped by likeness until no node of the tree has more
-than ``FAN`` branches, and the nodes are fitted as Spark tasks, each on about ``SAMPLE`` texts a branch that its
-languages share evenly (``LEAST`` a language at least); the model then grows by about ``FAN / 2`` machines a language.
+Training uses a bounded sample: at most about ``SAMPLE`` different labelled texts per language, chosen by a hash of
+doc_id and text, as ``DIM`` floats each; every other step covers all rows.  Every labelled language is learned.  Where
+families are more than ``FAN``, like ones share a node, until no node of the tree has more than ``FAN`` branches.  The
+nodes are fitted as Spark tasks, each on about ``SAMPLE`` texts a branch that its languages share evenly (``LEAST`` a
+language at least); the model grows by about ``FAN / 2`` machines a language.  The driver gets a centre a language
+and the machines, no texts and no features.
 
 Defined results: a null text or one without letters gives ``und`` with score 0.  Null lang is never trained on.
 Null doc_id counts as held out.  With no labelled row at all every text is ``und``; with one language every text
@@ -27,11 +28,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import small, stage
-from .textkit import batch_bytes
+from .textkit import batch_bytes, slices
 
 #: Labelled texts per language that the classifiers are fitted on, at most about.
 SAMPLE = 600
-#: Branches of a node of the tree, and languages fitted on the driver; the largest family has as many.
+#: Branches of a node of the tree; the largest family has as many.
 FAN = 12
 #: Texts of a language, at least, that a node is fitted on where its branches hold many languages.
 LEAST = 4
@@ -108,69 +109,6 @@ def fit_svm(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     return w, bias
 
 
-class Hierarchy:
-    """Family machines, then one-versus-one machines inside each family."""
-
-    def __init__(self, langs: list[str], machines: list[tuple[str, str, str, np.ndarray, float]]):
-        self.langs = langs
-        self.family = {x: _FAMILY.get(x, x) for x in langs}
-        self.families = sorted(set(self.family.values()))
-        self.machines = machines  # (level, positive, negative, weights, bias)
-
-    @classmethod
-    def fit(cls, x: np.ndarray, lang: list[str]) -> Hierarchy:
-        langs = sorted(set(lang))
-        own = np.array(lang)
-        family = np.array([_FAMILY.get(v, v) for v in lang])
-        scale = 1.0 / np.sqrt(x.mean(0) + 1e-4)  # rare trigrams weigh as much as their spread allows
-        machines = []
-        levels = [("family", family)] + [(f, own) for f in sorted(set(family))]
-        for level, target in levels:
-            inside = slice(None) if level == "family" else family == level
-            xs, ys = x[inside] * scale, target[inside]
-            for a, b in itertools.combinations(sorted(set(ys)), 2):
-                pick = (ys == a) | (ys == b)
-                w, bias = fit_svm(xs[pick], np.where(ys[pick] == a, 1.0, -1.0))
-                machines.append((level, a, b, (w * scale).astype(np.float32), bias))
-        return cls(langs, machines)
-
-    @staticmethod
-    def _vote(level: str, names: list[str], margins: dict) -> tuple[np.ndarray, np.ndarray]:
-        """Winner by most duels won, then by summed margins; and its least certain duel."""
-        n = len(next(iter(margins.values()))) if margins else 0
-        wins, total = np.zeros((len(names), n)), np.zeros((len(names), n))
-        for (lv, a, b), m in margins.items():
-            if lv == level:
-                i, j = names.index(a), names.index(b)
-                wins[i] += m >= 0
-                wins[j] += m < 0
-                total[i] += m
-                total[j] -= m
-        best = np.lexsort((total.T, wins.T), axis=-1)[:, -1] if len(names) > 1 else np.zeros(n, int)
-        sure = np.full(n, np.inf)
-        for (lv, a, b), m in margins.items():
-            if lv == level:
-                for k, sign in ((names.index(a), 1), (names.index(b), -1)):
-                    sure = np.where(best == k, np.minimum(sure, sign * m), sure)
-        return best, sure
-
-    def predict(self, column) -> tuple[np.ndarray, np.ndarray]:
-        idx, offsets = trigrams(column)
-        n = len(offsets) - 1
-        if not self.machines:
-            return np.full(n, self.langs[0], object), np.ones(n)
-        margins = {(lv, a, b): means(w, idx, offsets) + bias for lv, a, b, w, bias in self.machines}
-        fam, sure = self._vote("family", self.families, margins)
-        out, score = np.empty(n, object), np.zeros(n)
-        for k, family in enumerate(self.families):
-            names = [x for x in self.langs if self.family[x] == family]
-            best, own = self._vote(family, names, margins)
-            mine = fam == k
-            out[mine] = np.array(names, object)[best][mine]
-            score[mine] = np.minimum(sure, own)[mine]
-        return out, 1.0 / (1.0 + np.exp(-3.0 * np.clip(score, -200, 200)))
-
-
 class Tree:
     """One-versus-one machines at every node of a tree whose leaves are languages; a text goes down from node 0.
 
@@ -232,6 +170,22 @@ class Tree:
                 out += [(lang, [(node, place), *way]) for lang, way in self.below(child)]
         return out
 
+    @staticmethod
+    def _vote(kids: int, margins: dict[tuple[int, int], np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Winner by most duels won, then by summed margins; and its least certain duel."""
+        wins, total = np.zeros((kids, n)), np.zeros((kids, n))
+        for (i, j), m in margins.items():
+            wins[i] += m >= 0
+            wins[j] += m < 0
+            total[i] += m
+            total[j] -= m
+        best = np.lexsort((total.T, wins.T), axis=-1)[:, -1] if kids > 1 else np.zeros(n, int)
+        sure = np.full(n, np.inf)
+        for pair, m in margins.items():
+            for k, sign in zip(pair, (1, -1), strict=True):
+                sure = np.where(best == k, np.minimum(sure, sign * m), sure)
+        return best, sure
+
     def predict(self, column) -> tuple[np.ndarray, np.ndarray]:
         idx, offsets = trigrams(column)
         n = len(offsets) - 1
@@ -242,11 +196,8 @@ class Tree:
             ends = np.concatenate([[0], np.cumsum(size)])
             mine = idx[np.arange(ends[-1]) + np.repeat(offsets[rows] - ends[:-1], size)]
             kids = self.nodes[node]
-            margins = {("", a, b): means(w, mine, ends) + bias for a, b, w, bias in self.machines.get(node, ())}
-            if margins:
-                best, sure = Hierarchy._vote("", list(range(len(kids))), margins)
-            else:
-                best, sure = np.zeros(len(rows), int), np.full(len(rows), np.inf)
+            margins = {(a, b): means(w, mine, ends) + bias for a, b, w, bias in self.machines.get(node, ())}
+            best, sure = self._vote(len(kids), margins, len(rows))
             score[rows] = np.minimum(score[rows], sure)
             for place, child in enumerate(kids):
                 if len(there := rows[best == place]):
@@ -266,11 +217,12 @@ def held_out():
 
 def _features(batches):
     """(lang, x) of the texts with letters."""
-    for b in batches:
-        idx, at = trigrams(b["text"])
-        rows = [(np.bincount(idx[at[i] : at[i + 1]], minlength=DIM) / max(at[i + 1] - at[i], 1)).astype(np.float32) for i in range(len(at) - 1)]
-        keep = np.flatnonzero(np.diff(at) > 0)
-        yield pa.record_batch({"lang": b["lang"].take(pa.array(keep)), "x": pa.array([rows[i].tobytes() for i in keep], pa.binary())})
+    for batch in batches:
+        for b in slices(batch):
+            idx, at = trigrams(b["text"])
+            keep = np.flatnonzero(np.diff(at) > 0)
+            x = [(np.bincount(idx[at[i] : at[i + 1]], minlength=DIM) / (at[i + 1] - at[i])).astype(np.float32).tobytes() for i in keep]
+            yield pa.record_batch({"lang": b["lang"].take(pa.array(keep)), "x": pa.array(x, pa.binary())})
 
 
 def _centres(batches):
@@ -315,12 +267,17 @@ def _fit_nodes(scale: np.ndarray):
     return of
 
 
-def _fit_tree(pool: DataFrame, sizes: DataFrame, sample: int) -> Hierarchy | Tree | None:
-    """The classifiers of many languages, fitted as Spark tasks; the driver gets a centre a language and the machines."""
-    spark = pool.sparkSession
+def fit(docs: DataFrame, sample: int = SAMPLE) -> Tree | None:
+    """Fit on a bounded sample of the labelled documents that are not held out.
+
+    Repeated texts count once: a group of copies, of one doc_id or of many, doesn't lengthen the sample.
+    """
+    spark = docs.sparkSession
+    pool = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    sizes = stage(pool.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
     share = F.least(F.lit(1.0), 1.2 * sample / F.col("n")) * float(1 << 40)
-    chosen = pool.join(small(sizes, MAX_BROADCAST_ROWS), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < share)
-    rows = stage(chosen.select("text", "lang").mapInArrow(_features, "lang string, x binary"), "language-sample")
+    chosen = pool.join(small(sizes, MAX_BROADCAST_ROWS), "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) < share)
+    rows = stage(chosen.select("text", "lang").distinct().mapInArrow(_features, "lang string, x binary"), "language-sample")
     found = rows.repartition("lang").sortWithinPartitions("lang").mapInArrow(_centres, "lang string, n bigint, x binary").collect()  # one row a language
     if not found:
         return None
@@ -337,50 +294,36 @@ def _fit_tree(pool: DataFrame, sizes: DataFrame, sample: int) -> Hierarchy | Tre
     plan = [(lang, node, place, min(1.0, max(LEAST, 1.2 * sample / under[node, place]) / count[lang])) for lang, way in ways for node, place in way]
     dealt = rows.join(F.broadcast(spark.createDataFrame(plan, "lang string, node int, place int, share double")), "lang")  # some rows a language
     dealt = dealt.where(F.pmod(F.xxhash64("x", "node"), F.lit(1 << 40)) < F.col("share") * float(1 << 40))
-    dealt = dealt.select("node", "place", "x").repartition("node").sortWithinPartitions("node")
+    dealt = dealt.select("node", "place", "x").repartition("node").sortWithinPartitions("node", "place", F.xxhash64("x"))  # one order, whatever task is run again
     for r in dealt.mapInArrow(_fit_nodes(scale), "node int, a int, b int, w binary, bias double").toLocalIterator():
         tree.machines.setdefault(r["node"], []).append((r["a"], r["b"], np.frombuffer(r["w"], np.float32), r["bias"]))
     return tree
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Hierarchy | Tree | None:
-    """Fit on a bounded sample of the labelled documents that are not held out."""
-    pool = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    sizes = stage(pool.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
-    counts = {r["lang"]: r["n"] for r in sizes.orderBy(F.desc("n"), "lang").limit(FAN + 1).collect()}
-    if not counts:
-        return None
-    if len(counts) > FAN:
-        return _fit_tree(pool, sizes, sample)
-    share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, int(min(1.0, 1.2 * sample / n) * (1 << 40)))])
-    chosen = pool.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < share[F.col("lang")])
-    rows = chosen.select("text", "lang").mapInArrow(_features, "lang string, x binary").limit(2 * sample * len(counts)).collect()
-    if not rows:
-        return None
-    return Hierarchy.fit(np.stack([np.frombuffer(r["x"], np.float32) for r in rows]), [r["lang"] for r in rows])
+def _predicted(model: Tree | None, text) -> tuple[np.ndarray, np.ndarray]:
+    """The model's languages and scores, ``und`` and 0 where a text has no letters."""
+    if model is None:
+        return np.full(len(text), "und", object), np.zeros(len(text))
+    pred, score = model.predict(text)
+    data, offsets = batch_bytes(text)
+    ascii_letters = np.concatenate([[0], np.cumsum((_LETTER[data] > 0) & (data < 128))])
+    for i in np.flatnonzero(ascii_letters[offsets[1:]] == ascii_letters[offsets[:-1]]):
+        if not has_letters(text[int(i)].as_py()):
+            pred[i], score[i] = "und", 0.0
+    return pred, score
 
 
-def identify(docs: DataFrame, model: Hierarchy | Tree | None) -> DataFrame:
+def identify(docs: DataFrame, model: Tree | None) -> DataFrame:
     """The documents with two more columns, lang_pred and score (replacing columns of those names)."""
     base = docs.drop("lang_pred", "score")
     schema = T.StructType([*base.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # machines of the languages, no rows
 
     def of(batches):
-        m = shared.value
-        for b in batches:
-            text = b["text"]
-            if m is None:
-                pred, score = np.full(len(text), "und", object), np.zeros(len(text))
-            else:
-                pred, score = m.predict(text)
-                _, at = trigrams(text)
-                data, offsets = batch_bytes(text)
-                ascii_letters = np.concatenate([[0], np.cumsum((_LETTER[data] > 0) & (data < 128))])
-                for i in np.flatnonzero(ascii_letters[offsets[1:]] == ascii_letters[offsets[:-1]]):
-                    if not has_letters(text[int(i)].as_py()):
-                        pred[i], score[i] = "und", 0.0
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
+        for batch in batches:
+            for b in slices(batch):
+                pred, score = _predicted(shared.value, b["text"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 
     return base.mapInArrow(of, schema)
 
