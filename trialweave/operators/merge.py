@@ -6,7 +6,7 @@ execution picks broadcast or sort-merge and splits skewed keys.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +18,8 @@ from ..model.table import ROW, Table, mis, quoted
 from .relational import is_blank_column, union
 
 MATCHED = "_matched_"
+#: Flags of a qualifier's cells: supplied by exactly one row, by several.
+SUPPLIED, DOUBLED = "__sup__", "__dup__"
 SUBJECTS = ("USUBJID", "APID", "POOLID", "SPDEVID")
 #: Most qualifier names, and pointers to columns or datasets that do not exist, of one merge; more are refused.
 MAX_NAMES = 2000
@@ -53,6 +55,8 @@ class Keyed:
     mask: Column | None = None
     cardinality: str = "n:m"
     first_match: bool = False
+    #: Supplemental qualifiers of the partner, merged with it before the join; their columns are named as its own.
+    supp: tuple[Table, ...] = ()
 
     @property
     def label(self) -> str:
@@ -126,8 +130,12 @@ def merge_keyed(primary: Table, partners: list[Keyed], naming: Naming = Naming()
 
     A partner part is: its columns (renamed), ``<part>._matched_``, ``__sup__<part>`` and ``__row_<part>``.
     """
-    current = primary
-    for spec in partners:
+    current, issues = primary, []
+    for place, spec in enumerate(partners, 1):
+        if spec.supp:
+            with_supp = merge_supp(spec.table, *spec.supp)
+            issues += [f"{spec.label}: {x}" for x in with_supp.issues]
+            spec = replace(spec, table=with_supp.table)
         active = _components(current, spec)
         lefts, rights = [a for a, _ in active], [b for _, b in active]
         one_left, one_right = spec.cardinality.split(":")
@@ -136,7 +144,7 @@ def merge_keyed(primary: Table, partners: list[Keyed], naming: Naming = Naming()
         if one_right == "1" and not spec.first_match:
             _check_unique(spec.table, rights, spec, "partner")
         make = text_tag if spec.as_text else tag
-        part = spec.label or f"part{len(partners)}"
+        part = spec.label or f"part{place}"
         q = spec.table.df if spec.mask is None else spec.table.df.where(spec.mask)
         if not spec.keep_missings:
             q = q.where(~_any_blank(spec.table, rights))
@@ -156,6 +164,7 @@ def merge_keyed(primary: Table, partners: list[Keyed], naming: Naming = Naming()
             out.append(F.col(quoted(c)).alias(new, metadata={**spec.table.df.schema[c].metadata, "merged_from": part, "merged_source_column": c, "merge_kind": "KEYED"}))
             if mis(c) in spec.table.df.columns:
                 out.append(F.col(quoted(mis(c))).alias(mis(new)))
+            out += [F.col(quoted(f"{flag}{c}")).alias(f"{flag}{new}") for flag in (SUPPLIED, DOUBLED) if f"{flag}{c}" in spec.table.df.columns]
         q = q.select(*out)
         left = current.df
         for i, a in enumerate(lefts):
@@ -170,7 +179,7 @@ def merge_keyed(primary: Table, partners: list[Keyed], naming: Naming = Naming()
         if matched:
             joined = joined.withColumn(f"{part}.{MATCHED}", found)
         current = current.with_df(joined)
-    return Merged(current)
+    return Merged(current, issues)
 
 
 def ordered(t: Table, *parts: str) -> DataFrame:
@@ -183,7 +192,7 @@ def is_row_mapped(t: Table) -> Column:
     return (F.count(F.lit(1)) != F.count_distinct(ROW)) | (F.max(ROW) + 1 != F.count_distinct(ROW))
 
 
-def _refuse_many(found: list, what: str) -> list:
+def refuse_many(found: list, what: str) -> list:
     """What was collected up to MAX_NAMES + 1, if it is not more than MAX_NAMES."""
     if len(found) > MAX_NAMES:
         raise MergeError(f"more than {MAX_NAMES} {what}")
@@ -194,7 +203,7 @@ def _upper_names(*tables: Table) -> list[str]:
     return sorted({c.upper() for t in tables for c in t.columns})
 
 
-def merge_child(child: Table, parents: dict[str, Table], keys: list[str] = ("STUDYID", "USUBJID"), send: bool = False, fixed_parent: str | None = None) -> Merged:
+def merge_child(child: Table, parents: dict[str, Table], keys: list[str] = ("STUDYID", "USUBJID"), send: bool = False, fixed_parent: str | None = None, cardinality: str = "n:m") -> Merged:
     """Child rows with the parent rows that (RDOMAIN, IDVAR, IDVARVAL) point at, one part per parent domain.
 
     The pointer's column is looked up by name, its value compared as text (canonically with numeric columns); key
@@ -208,7 +217,7 @@ def merge_child(child: Table, parents: dict[str, Table], keys: list[str] = ("STU
         real = real | ((F.col("d") == d) & (F.coalesce(F.col("v"), F.lit("")) == "")) | ((F.col("d") == d) & F.col("v").isin(*_upper_names(t)))
     real = F.coalesce(real, F.lit(False))
     strange = pointers.where(~real & (F.col("d") != "")).orderBy("first").limit(MAX_NAMES + 1).collect()
-    pointers = pointers.where(real).collect() + _refuse_many(strange, "pointers to no dataset or column")  # real ones: the parents' columns at most
+    pointers = pointers.where(real).collect() + refuse_many(strange, "pointers to no dataset or column")  # real ones: the parents' columns at most
     pointers.sort(key=lambda r: r["first"])
     names: dict[str, list[str]] = {}
     for r in pointers:
@@ -217,144 +226,94 @@ def merge_child(child: Table, parents: dict[str, Table], keys: list[str] = ("STU
             if r["v"]:
                 names[r["d"]].append(r["v"])
     keys = list(keys) + (["POOLID"] if send and "POOLID" not in keys else [])
-    out = child.df
+    slots = [f"__k{i}" for i in range(len(keys))]
+    found, numeric = {}, {}
     for d, columns in names.items():
-        parent = parents.get(d)
-        if parent is None:
+        if (parent := parents.get(d)) is None:
             issues.append(f"{d}: no such dataset")
             continue
-        shared = [k for k in keys if child.find(k) and parent.find(k)]
-        subjects = [k for k in shared if k in SUBJECTS]
-        held = [c for c in columns if parent.find(c)]
         issues += [f"{d}: no column {c}" for c in columns if not parent.find(c)]
-        tokens = [F.struct(F.lit(c).alias("v"), join_token(parent.col(c) if parent.kind(c) == "STRING" else parent.col(c).cast("string"), parent.kind(c) != "STRING").alias("token")) for c in held]
-        mine = [F.col(ROW).alias(f"__row_{d}")] + [F.col(quoted(c)).alias(f"{d}.{c}") for c in parent.columns]
-        numeric = {c for c in held if parent.kind(c) != "STRING"}
-        token = F.when(F.upper(strip(child.col("IDVAR"))).isin(*numeric), join_token(child.col("IDVARVAL"), True)).otherwise(join_token(child.col("IDVARVAL"), False)) if numeric else join_token(child.col("IDVARVAL"), False)
-        no_subject = F.lit(bool(send and subjects))
-        for k in subjects:
-            no_subject = no_subject & blank(child, k)
-        left = out.withColumn("__d", domain).withColumn("__v", F.upper(strip(child.col("IDVAR")))).withColumn("__token", F.when(token != "", token)).withColumn("__any", no_subject)
-        for i, k in enumerate(shared):
-            left = left.withColumn(f"__k{i}", tag(child, k))
-        # blank pointer: the subject's rows; else the rows whose column holds the value
-        long = parent.df.select(*mine, *[tag(parent, k).alias(f"__p{i}") for i, k in enumerate(shared)], F.explode(F.array(*tokens) if tokens else F.array(F.struct(F.lit(None).cast("string").alias("v"), F.lit(None).cast("string").alias("token")))).alias("__t"))
-        cond = (F.col("__d") == d) & (F.col("__v") == F.col("__t.v")) & (F.col("__token") == F.col("__t.token"))
-        for i, k in enumerate(shared):
-            same_key = F.col(f"__k{i}") == F.col(f"__p{i}")
-            cond = cond & ((same_key | F.col("__any")) if send and k in subjects else same_key)
-        out = left.join(long, cond, "left").drop("__d", "__v", "__token", "__any", "__t", *[f"__k{i}" for i in range(len(shared))], *[f"__p{i}" for i in range(len(shared))])
-        found = F.col(quoted(f"__row_{d}")).isNotNull()
-        out = out.withColumn(f"__sup__{d}", found).withColumn(f"{d}.{MATCHED}", found)
-        child = child.with_df(out)
-    return Merged(child.with_df(out), issues)
-
-
-def relrec_links(relrec: Table, send: bool = False) -> DataFrame:
-    """(rel, rel_first, study, subject, domain, idvar, idvarval, record, __row) of every link row.
-
-    A relationship is (STUDYID, subject, RELID); under SEND (STUDYID, RELID).  Record level: both values are given.
-    """
-    subject = F.coalesce(*[F.when(strip(relrec.col(s)) != "", relrec.col(s)) for s in SUBJECTS if relrec.find(s)], F.lit(""))
-    text = lambda c: F.coalesce(strip(relrec.col(c)), F.lit(""))
-    rows = relrec.df.select(F.col(ROW), text("STUDYID").alias("study"), subject.alias("subject"), F.upper(text("RDOMAIN")).alias("domain"), F.upper(text("IDVAR")).alias("idvar"), text("IDVARVAL").alias("idvarval"), text("RELID").alias("relid"), (F.upper(text("RELTYPE")) if relrec.find("RELTYPE") else F.lit("")).alias("reltype"))
-    group = ["study", "relid"] if send else ["study", "subject", "relid"]
-    return rows.withColumn("rel", F.xxhash64(*group)).withColumn("rel_first", F.min(ROW).over(Window.partitionBy(*group))).where("relid <> '' AND domain <> ''")
-
-
-def _addressable(t: Table, columns: list[str]) -> DataFrame:
-    """(row, subject, study, idvar, token) of a table's rows for each pointer column that it has."""
-    held = [c for c in columns if t.find(c)]
-    subject = F.coalesce(*[F.when(strip(t.col(s)) != "", t.col(s)) for s in SUBJECTS if t.find(s)], F.lit(""))
-    study = strip(t.col("STUDYID")) if t.find("STUDYID") else F.lit("")
-    tokens = [F.struct(F.lit(c).alias("idvar"), join_token(t.col(c).cast("string"), t.kind(c) != "STRING").alias("token")) for c in held]
-    if not tokens:
-        tokens = [F.struct(F.lit("").alias("idvar"), F.lit(None).cast("string").alias("token"))]
-    return t.df.select(F.col(ROW).alias("row"), subject.alias("subject"), study.alias("study"), F.explode(F.array(*tokens)).alias("t")).select("row", "subject", "study", "t.*").where("token <> ''")
-
-
-def _link_columns(links: DataFrame, *tables: Table) -> list[str]:
-    """The pointer columns that some table has: no more than the tables' columns."""
-    return [r["idvar"] for r in links.where(F.col("idvar").isin(*_upper_names(*tables))).select("idvar").distinct().collect()]
-
-
-def _canonical(column: str, numeric: list[str]) -> Column:
-    return F.when(F.col("idvar").isin(*numeric), join_token(F.col(column), True)).otherwise(join_token(F.col(column), False)) if numeric else join_token(F.col(column), False)
-
-
-def relrec_addressed(primary: Table, relrec: Table, send: bool = False, relids: list[str] | None = None) -> DataFrame:
-    """(row) of the primary rows that some link addresses, whether or not its partner is found."""
-    links = relrec_links(relrec, send).where(F.col("domain") == primary.name.upper())
-    if relids:
-        links = links.where(F.col("relid").isin(*relids))
-    columns = _link_columns(links, primary)
-    links = links.withColumn("to", _canonical("idvarval", [c for c in columns if primary.kind(c) != "STRING"])).select(F.col("idvar").alias("v"), "idvarval", "to", F.col("subject").alias("of"), F.col("study").alias("in"))
-    record = (F.col("idvarval") != "") & (F.col("to") == F.col("token")) & ((F.col("of") == F.col("subject")) | (F.col("of") == "")) & ((F.col("in") == F.col("study")) | (F.col("in") == "") | (F.col("study") == ""))
-    whole = (F.col("idvarval") == "") & ((F.col("in") == F.col("study")) | (F.col("in") == ""))
-    return _addressable(primary, columns).join(links, (F.col("idvar") == F.col("v")) & (record | whole), "left_semi").select("row").distinct()
+        found[d] = [c for c in columns if parent.find(c)]
+        numeric[d] = [c for c in found[d] if parent.kind(c) != "STRING"]
+    if not found:
+        return Merged(child, issues)
+    shared = {d: [k for k in keys if child.find(k) and parents[d].find(k)] for d in found}
+    # every parent's pointed-at columns in one table, its own columns as a struct: the children are joined once
+    long = None
+    for d, columns in found.items():
+        parent = parents[d]
+        tokens = [F.struct(F.lit(c).alias("v"), join_token(parent.col(c) if parent.kind(c) == "STRING" else parent.col(c).cast("string"), parent.kind(c) != "STRING").alias("token")) for c in columns]
+        if not tokens:
+            continue
+        own = [F.when(F.lit(x == d), F.struct(F.col(ROW).alias("__row"), *[F.col(quoted(c)).alias(c) for c in parents[x].columns])).alias(f"__s_{x}") if x == d else F.lit(None).alias(f"__s_{x}") for x in found]
+        held = [tag(parent, k).alias(s) if k in shared[d] else F.lit("").alias(s) for k, s in zip(keys, slots, strict=True)]
+        rows = parent.df.select(F.lit(d).alias("__pd"), *held, *own, (F.explode(F.array(*tokens)) if len(tokens) > 1 else tokens[0]).alias("__t"))
+        rows = rows.select("__pd", F.col("__t.v").alias("__pv"), F.col("__t.token").alias("__pt"), *[F.col(s).alias(f"__p{s}") for s in slots], *[f"__s_{x}" for x in found]).where("__pt <> ''")
+        long = rows if long is None else long.unionByName(rows)
+    value = child.col("IDVARVAL")
+    pointer = F.upper(strip(child.col("IDVAR")))
+    as_number = F.lit(False)
+    for d, columns in numeric.items():
+        if columns:
+            as_number = as_number | ((domain == d) & pointer.isin(*columns))
+    token = F.when(as_number, join_token(value, True)).otherwise(join_token(value, False))
+    of_key = lambda k: F.when(domain.isin(*[d for d in found if k in shared[d]]), tag(child, k)).otherwise("") if any(k in x for x in shared.values()) else F.lit("")
+    left = child.df.select("*", domain.alias("__d"), pointer.alias("__v"), F.when(token != "", token).alias("__token"), *[of_key(k).alias(s) for k, s in zip(keys, slots, strict=True)])
+    if long is None:
+        out = left
+        for d in found:
+            kinds = ", ".join(f"{quoted(f.name)}: {f.dataType.simpleString()}" for f in parents[d].df.select(*[F.col(quoted(c)) for c in parents[d].columns]).schema.fields)
+            out = out.withColumn(f"__s_{d}", F.lit(None).cast(f"struct<__row: bigint{', ' + kinds if kinds else ''}>"))
+    else:
+        on = lambda x, y, without=(): (x["__d"] == y["__pd"]) & (x["__v"] == y["__pv"]) & (x["__token"] == y["__pt"]) & _all([x[s] == y[f"__p{s}"] for k, s in zip(keys, slots, strict=True) if k not in without])
+        subjects = [k for k in keys if k in SUBJECTS and child.find(k)]
+        if send and subjects:  # a child without any subject meets the rows of all
+            lost = F.lit(True)
+            for k in subjects:
+                lost = lost & blank(child, k)
+            some, none = left.where(~lost), left.where(lost)
+            out = some.join(long, on(some, long), "left").unionByName(none.join(long, on(none, long, SUBJECTS), "left"))
+        else:
+            out = left.join(long, on(left, long), "left")
+    for d in found:
+        part = F.col(quoted(f"__s_{d}"))
+        met = part["__row"].isNotNull()
+        held = {f"{d}.{c}": part[c] for c in parents[d].columns}
+        out = out.withColumns({f"__row_{d}": part["__row"], **held, f"__sup__{d}": met, f"{d}.{MATCHED}": met})
+    out = out.drop("__d", "__v", "__token", "__pd", "__pv", "__pt", *slots, *[f"__p{s}" for s in slots], *[f"__s_{d}" for d in found])
+    merged = child.with_df(out)
+    _check_children(merged, list(found), cardinality)
+    return Merged(merged, issues)
+
+
+def _all(conditions: list[Column]) -> Column:
+    out = F.lit(True)
+    for c in conditions:
+        out = out & c
+    return out
 
 
-def relrec_pairs(primary: Table, related: dict[str, Table], relrec: Table, send: bool = False, domains: list[str] | None = None, relids: list[str] | None = None) -> DataFrame:
-    """(row, domain, related_row, rel, rel_first): pairs of a primary row and a related row, distinct.
+def _check_children(t: Table, parts: list[str], cardinality: str) -> None:
+    """1 on the left: a parent row has one child at most; on the right: a child has one parent row at most."""
+    one_left, one_right = cardinality.split(":")
+    for d in parts:
+        met = t.df.where(F.col(quoted(f"__sup__{d}"))).select(F.col(ROW).alias("child"), F.col(quoted(f"__row_{d}")).alias("parent"))
+        for one, side, other in ((one_right, "child", "parent"), (one_left, "parent", "child")):
+            twice = met.groupBy(side).agg(F.min(other).alias("a"), F.max(other).alias("b")).where("a <> b").orderBy(side).limit(1).collect() if one == "1" else []
+            if twice:
+                r = twice[0]
+                raise CardinalityViolation(f"{d}: {other} rows {r['a'] + 1} and {r['b'] + 1} of {side} row {r[side] + 1}")
 
-    Record level: each side's column equals its value, within its subject.  Dataset level: both sides hold the same
-    token in their pointer columns, within study and subject.
-    """
-    links = relrec_links(relrec, send)
-    if relids:
-        links = links.where(F.col("relid").isin(*relids))
-    columns = _link_columns(links, primary, *related.values())
-    numeric = lambda t: [c for c in columns if t.find(c) and t.kind(c) != "STRING"]
-    me = primary.name.upper()
-    canonical = lambda c, names: F.when(F.col("idvar").isin(*names), join_token(F.col(c), True)).otherwise(join_token(F.col(c), False)) if names else join_token(F.col(c), False)
-    left = links.where(F.col("domain") == me).withColumn("token", canonical("idvarval", numeric(primary)))
-    record = (F.col("idvarval") != "")
-    mine = _addressable(primary, columns)
-    out = None
-    for name, t in related.items():
-        d = name.upper()
-        if d == me or (domains and d not in [x.upper() for x in domains]):
-            continue
-        right = links.where(F.col("domain") == d).withColumn("token", canonical("idvarval", numeric(t)))
-        theirs = _addressable(t, columns)
-        hit = lambda side, rows, to: side.where(record).join(rows.withColumnRenamed("study", "s"), (side["idvar"] == rows["idvar"]) & (side["token"] == rows["token"]) & ((side["subject"] == rows["subject"]) | (side["subject"] == "")) & ((side["study"] == F.col("s")) | (side["study"] == "") | (F.col("s") == ""))).select("rel", "rel_first", F.col("row").alias(to)).distinct()
-        by_record = hit(left, mine, "row").join(hit(right, theirs, "related_row"), ["rel", "rel_first"])
-        l, r = left.where(~record).select("rel", "rel_first", "study", F.col("idvar").alias("lv")), right.where(~record).select("rel", F.col("idvar").alias("rv"))
-        pairs = l.join(r, "rel").distinct()
-        a = mine.select(F.col("row"), F.col("study").alias("as"), F.col("subject").alias("asub"), F.col("idvar").alias("lv"), F.col("token").alias("at"))
-        b = theirs.select(F.col("row").alias("related_row"), F.col("study").alias("bs"), F.col("subject").alias("bsub"), F.col("idvar").alias("rv"), F.col("token").alias("bt"))
-        by_set = pairs.join(a, "lv").join(b, (pairs["rv"] == b["rv"]) & (F.col("as") == F.col("bs")) & (F.col("asub") == F.col("bsub")) & (F.col("at") == F.col("bt"))).where((F.col("study") == F.col("as")) | (F.col("study") == "")).select("rel", "rel_first", "row", "related_row")
-        both = by_record.select("rel", "rel_first", "row", "related_row").unionByName(by_set).distinct().withColumn("domain", F.lit(d))
-        out = both if out is None else out.unionByName(both)
-    return out
 
+def supp_name(dataset: str) -> str:
+    """Name of a dataset's supplemental dataset: SQ<name> for associated persons (AP--), else SUPP<name>."""
+    name = dataset.strip().upper()
+    return ("SQ" if len(name) >= 4 and name.startswith("AP") else "SUPP") + name
 
-def merge_relrec(primary: Table, related: dict[str, Table], relrec: Table, how: str = "left", send: bool = False, **selection) -> Merged:
-    """Primary rows with related rows: per relationship the cross product over domains, equal tuples once.
 
-    ``how="inner"`` drops the rows that no link addresses; addressed rows without a partner stay.
-    """
-    pairs = relrec_pairs(primary, related, relrec, send, **selection)
-    names = [d for d in (n.upper() for n in related) if d != primary.name.upper()]
-    tuples = None
-    for d in names:
-        one = pairs.where(F.col("domain") == d).select("row", "rel", F.col("related_row").alias(f"__row_{d}"))
-        tuples = one if tuples is None else tuples.join(one, ["row", "rel"], "full_outer")
-    rows = [f"__row_{d}" for d in names]
-    tuples = tuples.select(F.col("row").alias(ROW), *rows).distinct()
-    out = primary.df
-    if how == "inner":
-        addressed = relrec_addressed(primary, relrec, send, selection.get("relids")).select(F.col("row").alias(ROW))
-        out = out.join(addressed.unionByName(tuples.select(ROW)).distinct(), ROW, "left_semi")
-    out = out.join(tuples, ROW, "left")
-    for n, t in related.items():
-        d = n.upper()
-        if d not in names:
-            continue
-        q = t.df.select(F.col(ROW).alias(f"__row_{d}"), *[F.col(quoted(c)).alias(f"{d}.{c}") for c in t.columns])
-        out = out.join(q, f"__row_{d}", "left").withColumn(f"__sup__{d}", F.col(f"__row_{d}").isNotNull())
-    any_row = F.coalesce(*[F.col(r) for r in rows]).isNotNull()
-    return Merged(primary.with_df(out.withColumn(f"RELREC.{MATCHED}", any_row)))
+def supp_names(dataset: str, domain: str = "") -> list[str]:
+    """Names of the supplemental datasets of a split dataset and of its domain, to be stacked."""
+    return list(dict.fromkeys([supp_name(dataset), *([supp_name(domain)] if domain.strip() else [])]))
 
 
 def merge_supp(base: Table, *supp: Table, send: bool = False, keys: list[str] = ("STUDYID", "USUBJID", "POOLID", "APID", "SPDEVID")) -> Merged:
@@ -362,10 +321,14 @@ def merge_supp(base: Table, *supp: Table, send: bool = False, keys: list[str] =
 
     Subject level (IDVAR blank), record level (IDVAR's column equals IDVARVAL) and, without a subject, study-wide.
     A cell is supplied by exactly one hit; several hits, or subject and record rows for one subject, leave it
-    unsupplied and make an issue.  A base column of the same name wins.
+    unsupplied and make an issue.  A base column of the same name wins; names that differ only in case can't both be
+    columns: the first stays, unsupplied, with an issue.  Rows for another domain (RDOMAIN is not the base's DOMAIN) are
+    not the base's.
     """
     s = supp[0] if len(supp) == 1 else union(*supp, name=supp[0].name)
     issues: list[str] = []
+    if s.find("RDOMAIN") and not base.find("DOMAIN") and base.meta.get("domain"):
+        s = s.with_df(s.df.where(F.upper(strip(s.col("RDOMAIN"))) == base.meta["domain"].upper()))
     shared = [k for k in keys if base.find(k) and s.find(k)]
     subjects = [k for k in shared if k in SUBJECTS]
     names = s.df.where(strip(s.col("QNAM")) != "").groupBy(strip(s.col("QNAM")).alias("q")).agg(F.min(ROW).alias("first")).orderBy("first").limit(MAX_NAMES + 1).collect()
@@ -375,30 +338,37 @@ def merge_supp(base: Table, *supp: Table, send: bool = False, keys: list[str] =
     lower = {c.lower(): c for c in base.columns}
     skipped = [q for q in names if q.lower() in lower]
     issues += [f"{q}: the base column stays" for q in skipped]
-    use = [q for q in names if q.lower() not in lower]
+    first_of: dict[str, str] = {}
+    for q in (q for q in names if q.lower() not in lower):
+        if first_of.setdefault(q.lower(), q) != q:
+            issues.append(f"{first_of[q.lower()]}: {q} differs only in case, neither is supplied")
+    clashing = {first for first in first_of.values() if any(x.startswith(f"{first}: ") and x.endswith("neither is supplied") for x in issues)}
+    use = list(first_of.values())
     idvar = F.coalesce(F.upper(strip(s.col("IDVAR"))), F.lit("")) if s.find("IDVAR") else F.lit("")
     value = F.coalesce(strip(s.col("IDVARVAL")), F.lit("")) if s.find("IDVARVAL") else F.lit("")
     subject = F.lit(False)
     for k in subjects:
         subject = subject | ~blank(s, k)
+    both_domains = base.find("DOMAIN") and s.find("RDOMAIN")
+    of_domain = lambda t, c: [F.coalesce(F.upper(strip(t.col(c))), F.lit("")).alias(f"k{len(shared)}")] if both_domains else []
     level = F.when(idvar == "", F.when(subject, "SUBJECT")).when(value == "", None).when(~subject, F.when(F.lit(send or not subjects), "STUDY")).otherwise("RECORD")
-    rows = s.df.select(F.col(ROW).alias("srow"), strip(s.col("QNAM")).alias("q"), s.col("QVAL").alias("v"), idvar.alias("idvar"), value.alias("value"), level.alias("level"), *[tag(s, k).alias(f"k{i}") for i, k in enumerate(shared)]).where(F.col("level").isNotNull() & F.col("q").isin(*use) if use else F.lit(False))
+    rows = s.df.select(F.col(ROW).alias("srow"), strip(s.col("QNAM")).alias("q"), s.col("QVAL").alias("v"), idvar.alias("idvar"), value.alias("value"), level.alias("level"), *[tag(s, k).alias(f"k{i}") for i, k in enumerate(shared)], *of_domain(s, "RDOMAIN")).where(F.col("level").isNotNull() & F.col("q").isin(*(set(use) - clashing)) if set(use) - clashing else F.lit(False))
     pointed = rows.where("level <> 'SUBJECT'").select("idvar").distinct()
     real = F.col("idvar").isin(*_upper_names(base))
     columns = [r["idvar"] for r in pointed.where(real).collect()]  # the base's columns at most
-    columns += _refuse_many([r["idvar"] for r in pointed.where(~real).orderBy("idvar").limit(MAX_NAMES + 1).collect()], "pointers to no column")
+    columns += refuse_many([r["idvar"] for r in pointed.where(~real).orderBy("idvar").limit(MAX_NAMES + 1).collect()], "pointers to no column")
     issues += [f"{c}: no such column" for c in columns if not base.find(c)]
     held = [c for c in columns if base.find(c)]
     numeric = [c for c in held if base.kind(c) != "STRING"]
     token = F.when(F.col("idvar").isin(*numeric), join_token(F.col("value"), True)).otherwise(F.col("value")) if numeric else F.col("value")
     rows = rows.withColumn("token", token)
-    key = [f"k{i}" for i in range(len(shared))]
-    study_key = [f"k{i}" for i, k in enumerate(shared) if k not in subjects]
+    key = [f"k{i}" for i in range(len(shared) + bool(both_domains))]
+    study_key = [k for i, k in enumerate(key) if i >= len(shared) or shared[i] not in subjects]
     # a subject with rows of both levels for one name supplies nothing
     both = rows.where("level <> 'STUDY'").groupBy("q", *key).agg(F.count_distinct("level").alias("levels")).where("levels > 1").drop("levels")
     rows = rows.join(both.withColumn("__both", F.lit(True)), ["q", *key], "left") if key else rows.withColumn("__both", F.lit(None).cast("boolean"))
     clean = rows.where(F.col("__both").isNull()).drop("__both")
-    b = base.df.select(ROW, *[tag(base, k).alias(f"k{i}") for i, k in enumerate(shared)], *[join_token(base.col(c).cast("string"), base.kind(c) != "STRING").alias(f"__t{j}") for j, c in enumerate(held)])
+    b = base.df.select(ROW, *[tag(base, k).alias(f"k{i}") for i, k in enumerate(shared)], *of_domain(base, "DOMAIN"), *[join_token(base.col(c).cast("string"), base.kind(c) != "STRING").alias(f"__t{j}") for j, c in enumerate(held)])
     pieces = [b.join(clean.where("level = 'SUBJECT'").select("q", "v", *key), key).select(ROW, "q", "v")] if key else []
     if held:
         long = b.select(ROW, *key, F.explode(F.array(*[F.struct(F.lit(c).alias("idvar"), F.col(f"__t{j}").alias("token")) for j, c in enumerate(held)])).alias("t")).select(ROW, *key, "t.idvar", "t.token")
@@ -410,11 +380,15 @@ def merge_supp(base: Table, *supp: Table, send: bool = False, keys: list[str] =
     for p in pieces[1:]:
         hits = hits.unionByName(p)
     one = hits.groupBy(ROW, "q").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("v"))
-    wide = one.groupBy(ROW).agg(
-        *[F.max(F.when((F.col("q") == q) & (F.col("n") == 1), F.col("v"))).alias(q) for q in use],
-        *[F.coalesce(F.bool_or((F.col("q") == q) & (F.col("n") == 1)), F.lit(False)).alias(f"__sup__{q}") for q in use],
-        *[F.coalesce(F.bool_or((F.col("q") == q) & (F.col("n") > 1)), F.lit(False)).alias(f"__dup__{q}") for q in use])
+    cells = F.collect_list(F.struct("q", F.struct("n", "v").alias("x")))  # names are different: no more than they are
+    wide = one.groupBy(ROW).agg(F.map_from_entries(cells).alias("__cells"))
     out = base.df.join(wide, ROW, "left")
-    for q in use:
-        out = out.withColumn(f"__sup__{q}", F.coalesce(F.col(quoted(f"__sup__{q}")), F.lit(False))).withColumn(f"__dup__{q}", F.coalesce(F.col(quoted(f"__dup__{q}")), F.lit(False)))
+    cell = {q: F.col("__cells")[q] for q in use}
+    many = {q: F.coalesce(cell[q]["n"], F.lit(0)) for q in use}
+    out = out.withColumns({q: F.when(cell[q]["n"] == 1, cell[q]["v"]) for q in use} | {f"{SUPPLIED}{q}": many[q] == 1 for q in use} | {f"{DOUBLED}{q}": many[q] > 1 for q in use}).drop("__cells")
     return Merged(base.with_df(out), issues)
+
+
+from .relrec import merge_relrec  # noqa: E402  the relationships build on the names above
+
+__all__ = ["CardinalityViolation", "DegenerateKey", "KeyTypeClash", "Keyed", "MergeError", "Merged", "Naming", "merge_child", "merge_keyed", "merge_relrec", "merge_supp", "ordered"]
