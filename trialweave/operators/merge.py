@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from ..functions.keys import blank, tag, text_tag
 from ..functions.values import join_token, strip
 from ..model.table import ROW, Table, mis, quoted
-from .relational import is_blank_column, union
+from .relational import blank_columns, union
 
 MATCHED = "_matched_"
 #: Flags of a qualifier's cells: supplied by exactly one row, by several.
@@ -101,8 +101,10 @@ def _components(left: Table, spec: Keyed) -> list[tuple[str, str]]:
     if not active:
         raise DegenerateKey(f"no key component of {spec.label} is on both sides")
     if spec.type_checked and not spec.as_text:
-        for a, b in active:
-            if (left.kind(a) == "STRING") != (spec.table.kind(b) == "STRING") and not (is_blank_column(left, a) or is_blank_column(spec.table, b)):
+        differ = [(a, b) for a, b in active if (left.kind(a) == "STRING") != (spec.table.kind(b) == "STRING")]
+        blank_left, blank_right = (blank_columns(left, [a for a, _ in differ]), blank_columns(spec.table, [b for _, b in differ])) if differ else (set(), set())
+        for a, b in differ:
+            if a not in blank_left and b not in blank_right:
                 raise KeyTypeClash(f"{a} is {left.kind(a)}, {spec.label}.{b} is {spec.table.kind(b)}")
     return active
 

@@ -65,16 +65,25 @@ def row_slice(t: Table, start: int, end: int = -1) -> Table:
     return t.with_df(df if end < 0 else df.where(F.col(ROW) < end))
 
 
-def zip_tables(*tables: Table, name: str = "") -> Table:
-    """Columns of tables of equal length side by side, by row position; names must differ."""
-    out, seen = None, set()
-    for i, t in enumerate(tables):
+def zip_tables(*tables: Table, name: str = "", check: bool = True) -> Table:
+    """Columns of tables of equal length side by side, by row position; names must differ.
+
+    Unequal lengths are refused: one count of each table's rows, which ``check=False`` leaves out.
+    """
+    seen: set[str] = set()
+    for t in tables:
         clash = seen & {c.lower() for c in t.columns}
         if clash:
             raise ValueError(f"columns occur twice: {sorted(clash)}")
         seen |= {c.lower() for c in t.columns}
-        ordered = t.df.withMetadata(t.columns[0], {**t.df.schema[t.columns[0]].metadata, "merged_from": t.name}) if t.columns else t.df
-        out = ordered if out is None else out.join(ordered, ROW, "full_outer")
+    if check and len(lengths := [t.df.count() for t in tables]) and len(set(lengths)) > 1:
+        raise ValueError(f"tables of unequal length: {lengths}")
+    out = None
+    for t in tables:
+        df = t.df
+        for c in t.columns:
+            df = df.withMetadata(c, {**df.schema[c].metadata, "merged_from": t.name})
+        out = df if out is None else out.join(df, ROW)
     return Table(out, name)
 
 
@@ -95,8 +104,14 @@ def content(t: Table, names: list[str] | None = None) -> DataFrame:
     return one.select(F.explode(rows).alias("x")).select("x.*")
 
 
+def blank_columns(t: Table, names: list[str]) -> set[str]:
+    """Those of the columns that hold nothing, in one pass."""
+    names = [t.require(n) for n in names]
+    return {r["column"] for r in content(t, names).collect() if r["status"] != "FILLED"} if names else set()
+
+
 def is_blank_column(t: Table, name: str) -> bool:
-    return content(t, [t.require(name)]).first()["status"] != "FILLED"
+    return bool(blank_columns(t, [name]))
 
 
 def max_bytes(t: Table) -> DataFrame:
@@ -114,12 +129,14 @@ def union(*tables: Table, name: str = "") -> Table:
     for t in tables:
         for c in t.columns:
             order.setdefault(c.lower(), c)
+    kinds_of = {low: {t.kind(c) for t in tables if (c := t.find(low))} for low in order}
+    asked = [low for low in order if len(kinds_of[low]) > 1]
+    blank = [blank_columns(t, [c for low in asked if (c := t.find(low))]) for t in tables]  # one pass a member
     target: dict[str, str] = {}
     for low in order:
-        held = [(t, t.find(low)) for t in tables if t.find(low)]
-        kinds = {t.kind(c) for t, c in held}
+        kinds = kinds_of[low]
         if len(kinds) > 1:
-            filled = {t.kind(c) for t, c in held if not is_blank_column(t, c)}
+            filled = {t.kind(c) for t, b in zip(tables, blank, strict=True) if (c := t.find(low)) and c not in b}
             if len(filled) > 1:
                 raise TypeClash(f"column {order[low]}: {sorted(filled)}")
             kinds = filled or ({"STRING"} if "STRING" in kinds else {sorted(kinds)[0]})
@@ -190,4 +207,4 @@ def distinct_in_order(t: Table, name: str) -> DataFrame:
     return t.df.groupBy(t.col(name).alias(name)).agg(F.min(ROW).alias("first_row"))
 
 
-__all__ = ["TypeClash", "content", "distinct_in_order", "equal", "group_blocks", "is_blank_column", "key", "kind_of", "max_bytes", "overlay", "project", "row_map", "row_slice", "union", "with_group", "zip_tables"]
+__all__ = ["TypeClash", "blank_columns", "content", "distinct_in_order", "equal", "group_blocks", "is_blank_column", "key", "kind_of", "max_bytes", "overlay", "project", "row_map", "row_slice", "union", "with_group", "zip_tables"]

@@ -32,12 +32,12 @@ def places(spark, sf_dir) -> Dictionary:
     return Dictionary(levels, pairs, edges)
 
 
-@query("""SELECT c_custkey, true AS valid, c_custkey % 2 = 0 AS exact FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE upper(n_name) <> n_name OR c_custkey % 2 = 0
-UNION ALL SELECT c_custkey, true, true FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE upper(n_name) = n_name AND c_custkey % 2 <> 0""")
+@query("""SELECT c_custkey, upper(t) IN (SELECT upper(n_name) FROM nation) AS valid, t IN (SELECT n_name FROM nation) AS exact
+FROM (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN n_name || c_custkey WHEN c_custkey % 2 = 0 THEN n_name ELSE lower(n_name) END AS t FROM customer JOIN nation ON c_nationkey = n_nationkey)""")
 def dictionary_valid_term(spark, sf_dir):
-    """Membership with and without case; even customers spell the preferred form, odd ones in upper case."""
+    """Membership with and without case; even customers spell the preferred form, odd ones in lower case, some a term that is none."""
     c = read(spark, sf_dir, "customer").join(F.broadcast(read(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
-    term = F.when(F.col("c_custkey") % 2 == 0, F.col("n_name")).otherwise(F.upper("n_name"))
+    term = F.when(F.col("c_custkey") % 7 == 0, F.concat("n_name", F.col("c_custkey").cast("string"))).when(F.col("c_custkey") % 2 == 0, F.col("n_name")).otherwise(F.lower("n_name"))
     out = places(spark, sf_dir).check_terms(c.select("c_custkey", term.alias("t")), "t", "NATION")
     return out.select("c_custkey", "valid", "exact")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["merges", "links", "tables", "scalars", "analytics", "documents"]
+_MODULES = ["merges", "links", "tables", "scalars", "analytics", "documents", "sources"]
 
 QUERIES: dict = {}
 SQL: dict = {}

@@ -45,13 +45,18 @@ def table_slice(spark, sf_dir):
     return row_slice(keyed(spark, sf_dir, "part", ["p_partkey", "p_name"]), 100, 300).df.drop(ROW)
 
 
-@query("SELECT n.n_name, s.s_name FROM nation n FULL JOIN (SELECT * FROM supplier WHERE s_suppkey < 25) s ON n_nationkey = s_suppkey")
+@query("""SELECT c_custkey, c_name, c_acctbal * 2 AS twice, (SELECT count(*) FROM supplier) <> (SELECT count(*) FROM nation) AS unequal_refused FROM customer""")
 def table_zip(spark, sf_dir):
-    """Two tables side by side by row position."""
-    a = keyed(spark, sf_dir, "nation", ["n_name", "n_nationkey"])
-    b = keyed(spark, sf_dir, "supplier", ["s_name", "s_suppkey"])
-    b = b.with_df(b.df.where(F.col(ROW) < 25))
-    return zip_tables(a, b).df.select("n_name", "s_name")
+    """Two tables of equal length side by side by row position; unequal ones are refused."""
+    a = keyed(spark, sf_dir, "customer", ["c_custkey", "c_name"])
+    b = keyed(spark, sf_dir, "customer", ["c_acctbal"])
+    b = b.with_df(b.df.select(ROW, (F.col("c_acctbal") * 2).alias("twice")))
+    try:
+        zip_tables(keyed(spark, sf_dir, "supplier", ["s_name"]), keyed(spark, sf_dir, "nation", ["n_name"]))
+        refused = False
+    except ValueError:
+        refused = True
+    return zip_tables(a, b).df.select("c_custkey", "c_name", "twice", F.lit(refused).alias("unequal_refused"))
 
 
 @query("SELECT c_custkey AS key_, c_name AS name_, c_mktsegment AS segment, NULL::DOUBLE AS balance, 0 AS member FROM customer UNION ALL SELECT s_suppkey, s_name, '', s_acctbal, 1 FROM supplier")
@@ -82,11 +87,20 @@ def table_overlay(spark, sf_dir):
     return out.df.select("id", "c_name", "twice")
 
 
-@query("SELECT true AS same, false AS other")
+@query("""SELECT 'itself' AS against, true AS same UNION ALL SELECT 'upper case', (SELECT bool_and(upper(c_name) = c_name) FROM customer)
+UNION ALL SELECT 'without 3', (SELECT count(*) = 0 FROM customer WHERE c_custkey = 3) UNION ALL SELECT 'half as much twice', true UNION ALL SELECT 'balance of 7 changed', (SELECT count(*) = 0 FROM customer WHERE c_custkey = 7)
+UNION ALL SELECT 'marker changed', (SELECT count(*) = 0 FROM customer WHERE c_custkey % 5 = 0) UNION ALL SELECT 'other columns', false""")
 def table_equality(spark, sf_dir):
-    t = keyed(spark, sf_dir, "nation")
-    changed = t.with_df(t.df.withColumn("n_name", F.upper("n_name")).withColumn("n_name", F.concat("n_name", F.lit("!"))))
-    return spark.createDataFrame([(equal(t, t), equal(t, changed))], "same boolean, other boolean")
+    """Cells, markers, rows and columns tell tables apart."""
+    t = keyed(spark, sf_dir, "customer", ["c_custkey", "c_name", "c_acctbal"])
+    t = t.with_df(t.df.withColumn("gap", F.when(F.col("c_custkey") % 5 != 0, 1.0)))
+    put = lambda **c: t.with_df(t.df.withColumns(c))
+    others = {
+        "itself": t, "upper case": put(c_name=F.upper("c_name")), "without 3": t.with_df(t.df.where("c_custkey <> 3")), "half as much twice": put(c_acctbal=F.col("c_acctbal") / 2 * 2),
+        "balance of 7 changed": put(c_acctbal=F.when(F.col("c_custkey") == 7, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal"))),
+        "marker changed": put(gap__mis=F.when(F.col("gap").isNull(), 65).cast("tinyint")), "other columns": t.with_df(t.df.drop("gap")),
+    }
+    return spark.createDataFrame([(k, equal(t, x)) for k, x in others.items()], "against string, same boolean")
 
 
 @query("""SELECT 'o_orderstatus' AS "column", CASE WHEN bool_or(o_orderstatus <> '') THEN 'FILLED' WHEN bool_or(o_orderstatus = '') THEN 'EMPTY' ELSE 'MISSING' END AS status, count(DISTINCT o_orderstatus) <= 1 AS uniform FROM orders
@@ -97,9 +111,10 @@ def table_content(spark, sf_dir):
     return content(t)
 
 
-@query("SELECT max(octet_length(encode(n_name))) AS n_name FROM nation")
+@query("SELECT coalesce(max(octet_length(encode(text))), 0) AS text, coalesce(max(octet_length(encode(lang))), 0) AS lang, coalesce(max(octet_length(encode(source))), 0) AS source FROM documents")
 def table_max_bytes(spark, sf_dir):
-    return max_bytes(keyed(spark, sf_dir, "nation"))
+    """UTF-8 lengths, of texts with letters of several bytes."""
+    return max_bytes(keyed(spark, sf_dir, "documents", ["text", "lang", "source"]))
 
 
 @query("""SELECT row_number() OVER (ORDER BY first_row) - 1 AS block, first_row, n FROM (SELECT min(o_orderkey) AS first_row, count(*) AS n FROM orders GROUP BY o_orderstatus, o_orderpriority)""")

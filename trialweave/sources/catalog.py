@@ -5,12 +5,18 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..model.table import Table, number_rows
-from . import cdt, dataset_json, delimited, normalise, spreadsheet, transport
+from ..model.table import ROW, Table
+from . import cdt, dataset_json, delimited, normalise, sas7bdat, spreadsheet, transport
 
 #: Format of a file name, first match first.
-FORMATS = ((r"\.csv$|\.tsv$|\.txt$", "csv"), (r"\.parquet$", "parquet"), (r"\.ndjson$|\.dsjc$|\.json$", "dsj"), (r"\.xpt$", "xpt"), (r"\.cdt$", "cdt"), (r"\.xlsx$", "xlsx"))
+FORMATS = ((r"\.csv$|\.tsv$|\.txt$", "csv"), (r"\.parquet$", "parquet"), (r"\.ndjson$|\.dsjc$|\.json$", "dsj"), (r"\.xpt$", "xpt"), (r"\.cdt$", "cdt"), (r"\.xlsx$", "xlsx"), (r"\.sas7bdat$", "sas7bdat"))
+
+
+#: Files up to which their offsets are broadcast: one short row each.
+MAX_BROADCAST_ROWS = 1_000_000
 
 
 def format_of(path: str) -> str | None:
@@ -18,11 +24,20 @@ def format_of(path: str) -> str | None:
 
 
 def _parquet(spark: SparkSession, path: str, **options) -> Table:
+    """Parquet, numbered by file and by each row's place in it: no pass over the data but the count of each file's rows."""
     df = spark.read.options(**options).parquet(path)
-    return Table(number_rows(normalise.parquet(df)), path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0])
-
-
-READERS = {"csv": delimited.read, "parquet": _parquet, "dsj": dataset_json.read, "xpt": transport.read, "cdt": cdt.read, "xlsx": spreadsheet.read}
+    placed = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__place"))
+    sizes = placed.groupBy("__file").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    offsets = sizes.select(F.xxhash64("__file").alias("__f"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__offset"))
+    if offsets.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
+        offsets = F.broadcast(offsets)
+    rows = placed.join(offsets, F.xxhash64("__file") == F.col("__f")).withColumn("__at", F.col("__offset") + F.col("__place"))
+    cells = normalise.parquet(rows.drop("__file", "__place", "__f", "__offset"))
+    return Table(cells.withColumnRenamed("__at", ROW), path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0])
+
+
+READERS = {"csv": delimited.read, "parquet": _parquet, "dsj": dataset_json.read, "xpt": transport.read, "cdt": cdt.read, "xlsx": spreadsheet.read, "sas7bdat": sas7bdat.read}
 
 
 def read(spark: SparkSession, uri: str, **options) -> Table:

@@ -1,4 +1,7 @@
-"""Dataset-JSON 1.1: ``.json`` (one document), ``.ndjson`` (metadata line, then one array a line) and zlib containers."""
+"""Dataset-JSON 1.1: ``.json`` (one document), ``.ndjson`` (metadata line, then one array a line) and zlib containers.
+
+NDJSON is split over tasks by lines and parsed by Spark; documents and containers are one task a file.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +13,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..model.table import ROW, Table, mis
+from .lines import split_lines
 from .normalise import RULES, text_cell, text_number_cells
 
 #: Data types that are numbers.
@@ -31,19 +35,18 @@ def _cell(v):
     return None if v is None else (v if isinstance(v, str) else json.dumps(v))
 
 
-def read(spark: SparkSession, path: str, name: str = "", check: bool = True) -> Table:
-    """A Dataset-JSON file as a table.  A null cell is missing, an empty text is ''."""
-    lines = path.lower().endswith((".ndjson", ".dsjc"))
+def _documents(path: str, compressed: bool):
+    """(__row, cells) of whole documents; row -1 holds the metadata."""
 
     def of(batches):
         for b in batches:
             for raw in b["content"].to_pylist():
-                raw = zlib.decompress(raw) if path.lower().endswith(".dsjc") else raw
-                if lines:
-                    head, *rest = raw.decode().splitlines()
-                    head, rows = json.loads(head), (json.loads(x) for x in rest if x.strip())
+                text = (zlib.decompress(raw) if compressed else raw).decode()
+                if compressed:
+                    first, *rest = text.splitlines()
+                    head, rows = json.loads(first), (json.loads(x) for x in rest if x.strip())
                 else:
-                    head = json.loads(raw)
+                    head = json.loads(text)
                     rows = iter(head.pop("rows", []))
                 yield pa.record_batch({ROW: pa.array([-1], pa.int64()), "c": pa.array([[json.dumps(head)]], pa.list_(pa.string()))})
                 part, start = [], 0
@@ -54,7 +57,24 @@ def read(spark: SparkSession, path: str, name: str = "", check: bool = True) ->
                         start, part = start + 5000, []
                 yield pa.record_batch({ROW: pa.array(range(start, start + len(part)), pa.int64()), "c": pa.array(part, pa.list_(pa.string()))})
 
-    rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(of, f"{ROW} bigint, c array<string>")
+    return of
+
+
+def _lines(spark: SparkSession, path: str):
+    """The same of NDJSON, one file or a folder of parts: lines that open an object are metadata, arrays are records."""
+    rows, _ = split_lines(spark, path, header=False)
+    record = F.ltrim("line").startswith("[")
+    head = rows.where(~record & (F.trim("line") != "")).select(F.lit(-1).cast("bigint").alias(ROW), F.array("line").alias("c"), "file", F.col(ROW).alias("at"))
+    first = head.orderBy("file", "at").limit(1).select(ROW, "c")
+    return rows.where(record).select((F.col(ROW) - 1).alias(ROW), F.from_json("line", "array<string>").alias("c")).unionByName(first)
+
+
+def read(spark: SparkSession, path: str, name: str = "", check: bool = True) -> Table:
+    """A Dataset-JSON file as a table.  A null cell is missing, an empty text is ''."""
+    if path.lower().endswith(".ndjson"):
+        rows = _lines(spark, path)
+    else:
+        rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_documents(path, path.lower().endswith(".dsjc")), f"{ROW} bigint, c array<string>")
     head = json.loads(rows.where(F.col(ROW) == -1).first()["c"][0])
     data = rows.where(F.col(ROW) >= 0)
     if check and "records" in head and (n := data.count()) != head["records"]:

@@ -1,7 +1,9 @@
 """Delimited text whose quotes carry meaning: quoted cells are text, unquoted dots are missing markers.
 
-Files are read whole, one task a file (a record may hold line breaks), as Arrow batches of text cells with a quote
-flag each; typing and missing rules are Spark expressions.  Types come from one pass over the first ``guess`` records.
+Cells come as Arrow batches of text with a quote flag each; typing and missing rules are Spark expressions.  One pass
+counts the lines of every split, to number records over splits and files, and looks for lines of an odd number of
+quotes.  Without such lines every line is a record and files are split over tasks; otherwise a record may hold line
+breaks, and files are read whole, one task a file.  Types come from one pass over the first ``guess`` records.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import is_sentinel, sentinel_code, strip
 from ..model.table import ROW, Table, mis
+from .lines import numbered, split_lines
 from .normalise import RULES, text_cell, text_number_cells
 
 GUESS, CANDIDATES = 10_240, ",\t;"
@@ -71,29 +74,57 @@ def header(cells: list[str]) -> list[str]:
     return out
 
 
-def read(spark: SparkSession, path: str, delimiter: str | None = None, quote: str = '"', escape: str = '"', encoding: str = "UTF-8", guess: int = GUESS, name: str = "") -> Table:
-    """A delimited file as a table; row identity is the record's place."""
-    first = spark.read.option("encoding", encoding).text(path).first()
-    first = first[0] if first else ""
-    delimiter = delimiter or detect(first, quote)
-    names = header([c for c, _ in next(records(first, delimiter, quote, escape), [])])
-    cells = "array<struct<v:string,q:boolean>>"
+_CELLS = pa.list_(pa.struct([("v", pa.string()), ("q", pa.bool_())]))
 
+
+def _by_line(delimiter: str, quote: str, escape: str):
     def of(batches):
-        kind = pa.list_(pa.struct([("v", pa.string()), ("q", pa.bool_())]))
         for b in batches:
-            for raw in b["content"].to_pylist():
+            rows = []
+            for line in b["line"].to_pylist():
+                cells = [(v, False) for v in line.split(delimiter)] if quote not in line else next(records(line, delimiter, quote, escape), [("", False)])
+                rows.append([{"v": v, "q": q} for v, q in cells])
+            yield pa.record_batch({ROW: b[ROW], "c": pa.array(rows, _CELLS)})
+
+    return of
+
+
+def _whole(delimiter: str, quote: str, escape: str, encoding: str, size: int = 5000):
+    """(file, block 0, place, cells) of the records of whole files; place 0 is the header."""
+
+    def of(batches):
+        for b in batches:
+            for path, raw in zip(b["path"].to_pylist(), b["content"].to_pylist(), strict=True):
                 part, start = [], 0
-                rows = records(raw.decode(encoding), delimiter, quote, escape)
-                next(rows, None)
-                for r in rows:
+                for r in records(raw.decode(encoding), delimiter, quote, escape):
                     part.append([{"v": v, "q": q} for v, q in r])
-                    if len(part) == 5000:
-                        yield pa.record_batch({ROW: pa.array(range(start, start + 5000), pa.int64()), "c": pa.array(part, kind)})
-                        start, part = start + 5000, []
-                yield pa.record_batch({ROW: pa.array(range(start, start + len(part)), pa.int64()), "c": pa.array(part, kind)})
+                    if len(part) == size:
+                        yield _placed(path, start, part)
+                        start, part = start + size, []
+                yield _placed(path, start, part)
+
+    return of
+
+
+def _placed(path: str, start: int, part: list) -> pa.RecordBatch:
+    return pa.record_batch({"file": pa.array([path] * len(part), pa.string()), "block": pa.array([0] * len(part), pa.int64()), "place": pa.array(range(start, start + len(part)), pa.int64()), "c": pa.array(part, _CELLS)})
 
-    rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(of, f"{ROW} bigint, c {cells}")
+
+def read(spark: SparkSession, path: str, delimiter: str | None = None, quote: str = '"', escape: str = '"', encoding: str = "UTF-8", guess: int = GUESS, name: str = "") -> Table:
+    """A delimited file, or a folder of files that each have the header, as a table; row identity is the record's place."""
+    first = spark.read.text(path).first()
+    delimiter = delimiter or detect(first[0] if first else "", quote)
+    cells = "array<struct<v:string,q:boolean>>"
+    plain = encoding.upper().replace("-", "") == "UTF8" and len(quote) == 1
+    lines, odd = split_lines(spark, path, quote) if plain else (None, True)
+    if not odd:
+        names = header([c for c, _ in next(records(first[0] if first else "", delimiter, quote, escape), [])])
+        rows = lines.where("NOT head").select(ROW, "line").mapInArrow(_by_line(delimiter, quote, escape), f"{ROW} bigint, c {cells}")
+    else:
+        whole = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_whole(delimiter, quote, escape, encoding), f"file string, block bigint, place bigint, c {cells}")
+        head = whole.where("place = 0").orderBy("file").select("c").first()
+        names = header([x["v"] for x in head["c"]] if head else [])
+        rows = numbered(whole).where("NOT head").select(ROW, "c")
     return Table(typed(rows, names, guess), name)
 
 

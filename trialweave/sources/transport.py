@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import struct
 
 import numpy as np
@@ -14,6 +15,7 @@ from ..model.table import ROW, Table, mis
 from .normalise import RULES, text_cell
 
 RECORD = 80
+#: The format's header records.
 _MEMBER = b"HEADER RECORD*******MEMBER  HEADER RECORD!!!!!!!"
 _OBS = b"HEADER RECORD*******OBS     HEADER RECORD!!!!!!!"
 _NAMESTR = b"HEADER RECORD*******NAMESTR HEADER RECORD!!!!!!!"
@@ -71,10 +73,19 @@ def members(raw: bytes) -> list[dict]:
     return out
 
 
+def described(spark: SparkSession, path: str) -> list[dict]:
+    """The members of a file, found by the task that reads it; the driver gets no observations."""
+
+    def of(batches):
+        for b in batches:
+            yield pa.record_batch({"m": pa.array([json.dumps(members(raw)) for raw in b["content"].to_pylist()])})
+
+    return json.loads(spark.read.format("binaryFile").load(path).select("content").mapInArrow(of, "m string").first()["m"])
+
+
 def read(spark: SparkSession, path: str, member: str | None = None, encoding: str = "latin-1") -> Table:
     """One member of a transport file (the first unless named).  Observations are decoded in slices."""
-    raw = spark.read.format("binaryFile").load(path).select("content").first()["content"]
-    found = members(bytes(raw))
+    found = described(spark, path)
     info = next((m for m in found if member is None or m["name"].lower() == member.lower()), None)
     if info is None:
         raise KeyError(f"{path} has no member {member}")
@@ -115,4 +126,21 @@ def read(spark: SparkSession, path: str, member: str | None = None, encoding: st
 
 def library(spark: SparkSession, path: str) -> list[str]:
     """Names of a transport file's members."""
-    return [m["name"] for m in members(bytes(spark.read.format("binaryFile").load(path).select("content").first()["content"]))]
+    return [m["name"] for m in described(spark, path)]
+
+
+def file_of(name: str, label: str, columns: list[dict], rows: list[tuple], encoding: str = "latin-1") -> bytes:
+    """A transport file of one member.  columns: name, label, number, length.  Rows are held in memory: for small tables."""
+    blank = lambda text, n: text.encode(encoding)[:n].ljust(n)
+    stamp = b"01JAN00:00:00:00"
+    out = [b"HEADER RECORD*******LIBRARY HEADER RECORD!!!!!!!" + b"0" * 30 + b"  ", b"SAS     SAS     SASLIB  6.06    bsd4.2  " + b" " * 24 + stamp, stamp.ljust(RECORD)]
+    out += [_MEMBER + b"0" * 16 + b"01600000000140  ", b"HEADER RECORD*******DSCRPTR HEADER RECORD!!!!!!!" + b"0" * 30 + b"  "]
+    out += [b"SAS     " + blank(name, 8) + b"SASDATA 6.06    bsd4.2  " + b" " * 24 + stamp, stamp + b" " * 16 + blank(label, 40) + b" " * 8]
+    out.append(_NAMESTR + b"000000" + f"{len(columns):04d}".encode() + b"0" * 20 + b"  ")
+    names, at = b"", 0
+    for i, c in enumerate(columns, 1):
+        names += struct.pack(">hhhh", 1 if c["number"] else 2, 0, c["length"], i) + blank(c["name"], 8) + blank(c.get("label", ""), 40) + b" " * 8 + struct.pack(">hhh", 0, 0, 0) + b"\0\0" + b" " * 8 + struct.pack(">hhl", 0, 0, at) + bytes(52)
+        at += c["length"]
+    body = b"".join(ieee_to_ibm(v)[: c["length"]] if c["number"] else blank(v or "", c["length"]) for r in rows for c, v in zip(columns, r, strict=True))
+    fill = lambda x: x + b" " * (-len(x) % RECORD)
+    return b"".join(out) + fill(names) + _OBS + b"0" * 30 + b"  " + fill(body)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import shared_dir
+
 
 def tumbling_counts(spark: SparkSession, path: str, time: str, key: str, size: str, late: str = "10 minutes") -> DataFrame:
     """(key, start, n) per window from the files of ``path`` read as a stream.
@@ -15,8 +16,7 @@ def tumbling_counts(spark: SparkSession, path: str, time: str, key: str, size: s
     State is bounded by the watermark in a continuous run; here the available files are processed and the stream
     ends, in complete mode, so that the last windows are emitted too.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="trialweave-")
-    run = f"{base}/stream-{uuid.uuid4().hex}"
+    run = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(path).schema
     folder, _, file = path.rstrip("/").rpartition("/")
     rows = spark.readStream.schema(schema).option("pathGlobFilter", file).parquet(folder).withColumn(time, F.col(time).cast("timestamp"))
