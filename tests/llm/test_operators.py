@@ -75,20 +75,45 @@ def test_substrings_against_all_windows(spark, docs):
     assert sum(r[2] for r in want) > 3000
 
 
+def test_passages_of_words_against_all_windows(spark, docs):
+    rng = random.Random(9)
+    inner, short = " ".join(words(rng, 60, 5000)), " ".join(words(rng, 51, 300))
+    more = [f"{short} tail", f"HEAD {short.upper()}\n", f"{' '.join(short.split()[:50])} almost", f"{inner} and {inner}", f"x {inner} y {inner} z {short} {short}", " ".join(inner.split()[5:57])]
+    docs = docs.unionByName(spark.createDataFrame([(900 + i, t, None, None, None, None, None) for i, t in enumerate(more)], DOC))
+    rows = {(i, t or "") for i, t in rows_of(docs)}
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t))
+    held = {}
+    for r in rows:
+        w = split(r[1])
+        for k in range(len(w) - 50):
+            held.setdefault(tuple(w[k : k + 51]), set()).add(r)
+    want = {(r[0], len(r[1].encode())): len({w for k in range(len(split(r[1])) - 50) if len(held[w := tuple(split(r[1])[k : k + 51])]) > 1}) for r in rows}
+    got = {(r["doc_id"], r["n_bytes"]): r["n_passages"] for r in substrings.remove_repeats(docs).collect()}
+    assert got == want
+    assert want[900, len(more[0])] == 1 and want[902, len(more[2])] == 0 and want[903, len(more[3])] > 5
+
+
 def test_substrings_empty(spark):
     assert substrings.remove_repeats(empty(spark)).count() == 0
 
 
 def test_suffix_index_levels(spark, docs):
-    rows = substrings._keyed(docs)
-    sparse = substrings.suffixes(rows).persist()
+    sparse = substrings.suffixes(substrings._keyed(docs)).persist()
+    batch = lambda i: sparse.where(F.pmod(F.xxhash64("tk"), F.lit(3)) == i).select("core", "content")
     index = substrings.SuffixIndex()
-    for i in range(3):
-        index.add(sparse.where(F.pmod(F.xxhash64("doc_id", "tk"), F.lit(3)) == i))
+    for i in range(2):
+        index.add(batch(i))
+    assert sorted(index.levels) == [1]
+    index = substrings.SuffixIndex(index.levels)  # a later run's batches meet the levels of this one
+    index.add(batch(2))
     assert sorted(index.levels) == [0, 1]  # three batches: one of rank 1, one of rank 0
-    again = {(r["core"], r["content"]) for r in index.found()[0].collect()}
-    count = Counter((r["core"], r["content"]) for r in sparse.collect())
+    again, mixed = ({tuple(r) for r in x.collect()} for x in index.found())
+    count, contents = Counter(), {}
+    for r in sparse.collect():
+        count[r["core"], r["content"]] += 1
+        contents.setdefault(r["core"], set()).add(r["content"])
     assert again == {k for k, n in count.items() if n > 1}
+    assert mixed == {(k,) for k, x in contents.items() if len(x) > 1}
 
 
 # 2
@@ -452,6 +477,54 @@ def test_privacy_disclosing_terms(spark):
     assert privacy.sanitise(d).columns == d.columns
 
 
+def test_privacy_terms_against_brute_force(spark):
+    rng = random.Random(3)
+    vocabulary, secret = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)], ["zorblax", "quindle", "Ämter", "vexor"]
+    texts = []
+    for i in range(160):
+        lines = [" ".join(rng.choices(vocabulary, k=rng.randrange(0, 9))) for _ in range(rng.randrange(1, 5))]
+        if i % 4 == 0:
+            who = rng.randrange(4)
+            lines[rng.randrange(len(lines))] += f" {secret[who]} mail{who}@x.org" + rng.choice(["", " +1 (555) 010-99" + str(who) * 2])
+            lines.append(rng.choice([secret[who].upper(), rng.choice(secret[:3]), ""]))
+        texts.append("\n".join(lines))
+    texts += [texts[0]] * 5 + [None, ""]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    texts = [t or "" for t in texts]
+
+    def clean(t):
+        for p in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", r"\+[0-9][ ().0-9-]+[0-9]"):
+            t = re.sub(p, " ", t)
+        return {w for w in re.findall(r"[^\W\d_]+", t.lower()) if len(w) >= 3}
+
+    entities = lambda t: {t[x[0] : x[2]].lower() for x in brute_spans(t)}
+    worst = {}
+    for contexts in ([x for t in texts for x in t.split("\n")], texts):
+        N = len(contexts)
+        n_t, n_e, n_te, kinds, e_kinds = Counter(), Counter(), Counter(), {}, {}
+        for c in contexts:
+            ts, es = clean(c), entities(c)
+            n_t.update(ts), n_e.update(es)
+            for e in es:
+                e_kinds.setdefault(e, set()).add(c)
+                for t in ts:
+                    n_te[e, t] += 1
+                    kinds.setdefault((e, t), set()).add(c)
+        for (e, t), n in n_te.items():
+            if len(kinds[e, t]) >= 3:
+                ratio = math.log2(n * N / (n_t[t] * n_e[e])) / math.log2(N / n_e[e])
+                worst[e, t] = max(ratio, worst.get((e, t), 0))
+    want = {(i, m.start(), m.end(), max(worst.get((e, m[0].lower()), 0) for e in entities(t)) >= 0.95) for i, t in enumerate(texts) for m in re.finditer(r"[^\W\d_]+", t) if entities(t) and max(worst.get((e, m[0].lower()), 0) for e in entities(t)) >= 0.8}
+    got = {(r["doc_id"], m["start"], m["end"], m["value"] == "") for r in privacy.spans(d, (privacy.LINE, privacy.DOCUMENT)).collect() for m in r["terms"]}
+    assert got == want and len(want) > 40 and {x[3] for x in want} == {True, False}
+
+
+def test_privacy_many_findings_in_one_text(spark):
+    text = " ".join(f"user{i}@x{i}.org w{i}" for i in range(3000))
+    d = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    assert privacy.sanitise(d).first()["text"] == " ".join(f"[EMAIL] w{i}" for i in range(3000))
+
+
 # 10
 
 

@@ -1,15 +1,17 @@
 """Exact removal of repeated long substrings with a logarithmic family of sparse suffix indexes.
 
-Every 400-byte string that starts in two places is found, and the bytes that such strings cover are removed.
+Every 400-byte string that starts in two places is found, and the bytes that such strings cover are removed.  Passages
+of over 50 words that another document holds too may be shorter than that: ``passages`` counts them, they stay.
 
 Sparse suffixes.  Of the 337 64-byte strings inside a 400-byte window the one of least hash (leftmost of equals) is
 the window's anchor; equal windows have equal anchors at equal offsets.  The windows of one anchor are neighbours, so
 about one suffix in 170 bytes is indexed: its ``core`` (hash of the 64 bytes at the anchor) and its ``content`` (hash
-of all bytes of the anchor's windows).  A suffix array here is the table of those suffixes in order of (core, content).
+of all bytes of the anchor's windows).  A suffix array here is the table of those suffixes in order of (core, content),
+one row a content, with how often it occurs.
 
-Logarithmic index.  Documents come in batches.  A batch is sorted into a suffix array; it is merge-scanned against the
-existing levels for suffixes of equal core; then it becomes a level of rank 0, and while there are two levels of one
-rank they are merged into one of the next.  Every suffix is rewritten log2(batches) times.
+Logarithmic index.  Documents come in batches.  A batch is sorted into a suffix array, a level of rank 0; while there
+are two levels of one rank they are merge-scanned into one of the next, and against the other levels the batch is
+scanned for equal cores and contents.  Every suffix is rewritten log2(batches) times.
 
 Refinement.  Equal contents: all their windows are repeated.  Equal cores with different contents agree in part: their
 windows are regrouped by 43 offsets to a finer core of 358 bytes and a finer content, and what still differs is
@@ -19,8 +21,9 @@ are made, and every step is a grouping with partial aggregation or a join that a
 
 Hashes: contents are compared under (core, content), 128 bits together.
 
-Defined results: null and empty texts have 0 bytes and the hash of nothing.  Repeated rows repeat each other's strings.
-Null doc_id is a value like any other.  Empty tables give no rows; extra columns are ignored.
+Defined results: null and empty texts have 0 bytes and the hash of nothing.  Repeated rows repeat each other's strings,
+but of passages a row's exact repeat (same doc_id and text) is no other document.  Null doc_id is a value like any
+other.  Equal texts lose equal bytes.  Empty tables give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,16 +37,17 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, same, small, stage, table, text_key
+from .common import bounded_batches, drop_stage, small, stage, table, text_key
 from .textkit import batch_bytes, mix, prefix_hash, row_of, slices, span_hash
 
 LENGTH, GRAM, GROUP = 400, 64, 43
 BATCHES = 4
-#: Rows up to which a table of one row per document is broadcast to meet the texts.
+#: Rows up to which a table of one row per text, or of cores and contents, is broadcast.
 MAX_BROADCAST_ROWS = 300_000
 
-_SPAN = "doc_id bigint, tk bigint, core bigint, content bigint, s int, e int, p int"
+_SPAN = "tk bigint, core bigint, content bigint, s int, e int, p int"
 _U = np.uint64
+_PLACE = ("tk", "s", "e", "p")
 
 
 def window_minima(key: np.ndarray, width: int) -> np.ndarray:
@@ -56,67 +60,67 @@ def window_minima(key: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(tail[: n - width + 1], head[width - 1 : n])
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray):
+def anchors(prefix: np.ndarray, offsets: np.ndarray, length: int = LENGTH, size: int = GRAM):
     """(row, core, content, s, e, p) of every anchor; windows s..e and the anchor p, counted from the row's start."""
-    n = len(data)
+    n = len(prefix) - 1
     none = np.zeros(0, np.int64)
-    if n < LENGTH:
+    if n < length:
         return none, none, none, none, none, none
-    prefix = prefix_hash(data)
-    at = np.arange(n - GRAM + 1)
-    gram = span_hash(prefix, at, at + GRAM)
+    at = np.arange(n - size + 1)
+    gram = span_hash(prefix, at, at + size)
     key = (gram & ~_U(0xFFFFFFFF)) | at.astype(_U)
-    least = window_minima(key, LENGTH - GRAM + 1) & _U(0xFFFFFFFF)
+    least = window_minima(key, length - size + 1) & _U(0xFFFFFFFF)
     anchor = least.astype(np.int64)
     row = row_of(offsets, n)
-    start = np.flatnonzero(row[: n - LENGTH + 1] == row[LENGTH - 1 :])  # windows inside one row
+    start = np.flatnonzero(row[: n - length + 1] == row[length - 1 :])  # windows inside one row
     if not len(start):
         return none, none, none, none, none, none
     a, r = anchor[start], row[start]
     first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (r[1:] != r[:-1])]))
     last = np.concatenate([first[1:], [len(start)]]) - 1
     s, e, p, r = start[first], start[last], a[first], r[first]
-    content = mix(span_hash(prefix, s, e + LENGTH) ^ mix((p - s).astype(_U)))
+    content = mix(span_hash(prefix, s, e + length) ^ mix((p - s).astype(_U)))
     base = offsets[r]
     return r, gram[p].view(np.int64), content.view(np.int64), s - base, e - base, p - base
 
 
 def _spans(part, r, core, content, s, e, p):
-    take = pa.array(r)
-    return pa.record_batch({"doc_id": part["doc_id"].take(take), "tk": part["tk"].take(take), "core": pa.array(core), "content": pa.array(content), "s": pa.array(s.astype(np.int32)), "e": pa.array(e.astype(np.int32)), "p": pa.array(p.astype(np.int32))})
+    return pa.record_batch({"tk": part["tk"].take(pa.array(r)), "core": pa.array(core), "content": pa.array(content), "s": pa.array(s.astype(np.int32)), "e": pa.array(e.astype(np.int32)), "p": pa.array(p.astype(np.int32))})
 
 
 def suffixes(rows: DataFrame) -> DataFrame:
-    """The sparse suffixes of all documents (doc_id, tk, text)."""
+    """The sparse suffixes of all documents (tk, text), with their batch."""
 
     def of(batches):
         for b in batches:
             for part in slices(b):
-                yield _spans(part, *anchors(*batch_bytes(part["text"])))
+                data, offsets = batch_bytes(part["text"])
+                yield _spans(part, *anchors(prefix_hash(data), offsets))
 
-    return rows.select("doc_id", "tk", "text").mapInArrow(of, _SPAN)
+    return rows.select("tk", "text").mapInArrow(of, _SPAN).withColumn("batch", F.pmod(F.xxhash64("tk"), F.lit(BATCHES)).cast("int"))
 
 
 class SuffixIndex:
-    """Levels of sorted sparse suffixes: (core, content, n, place), one row per content."""
+    """Levels of sorted sparse suffixes: (core, content, n), one row per content."""
 
-    def __init__(self):
-        self.levels: dict[int, DataFrame] = {}
-        self.repeated: list[DataFrame] = []  # (core, content) found twice
-        self.mixed: list[DataFrame] = []  # cores with different contents
+    def __init__(self, levels: dict[int, DataFrame] | None = None):
+        """``levels`` by rank, as an earlier index has left them: later batches meet them."""
+        self.levels: dict[int, DataFrame] = dict(levels or {})
+        self.repeated: list[DataFrame] = []  # (core, content) that a scan found twice
+        self.mixed: list[DataFrame] = []  # cores of which a scan found different contents
 
     def add(self, batch: DataFrame) -> None:
-        place = F.struct("doc_id", "tk", "s", "e", "p")
-        run = batch.groupBy("core", "content").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("place"))
+        """Suffixes (core, content): a suffix array, scanned against the levels and merged with equal ones."""
+        run = batch.groupBy("core", "content").agg(F.count(F.lit(1)).alias("n"))
         run = stage(run.sortWithinPartitions("core", "content"), "suffix-array")
-        self.repeated.append(run.where("n > 1").select("core", "content"))
-        self.mixed.append(self._ends(run).where("lo <> hi").select("core"))
-        for level in self.levels.values():
-            self._scan(run, level)
         rank = 0
         while rank in self.levels:
-            run = self._merge(run, self.levels.pop(rank))
             rank += 1
+        for r, level in self.levels.items():
+            if r > rank:  # those below are merged, which compares them
+                self._scan(run, level)
+        for r in range(rank):
+            run = self._merge(run, self.levels.pop(r))
         self.levels[rank] = run
 
     @staticmethod
@@ -133,29 +137,27 @@ class SuffixIndex:
 
     @staticmethod
     def _merge(a: DataFrame, b: DataFrame) -> DataFrame:
-        merged = a.unionByName(b).groupBy("core", "content").agg(F.sum("n").alias("n"), F.min("place").alias("place"))
-        return stage(merged.sortWithinPartitions("core", "content"), "level")
+        merged = a.unionByName(b).groupBy("core", "content").agg(F.sum("n").alias("n"))
+        merged = stage(merged.sortWithinPartitions("core", "content"), "level")
+        drop_stage(a)
+        drop_stage(b)
+        return merged
 
     def found(self) -> tuple[DataFrame, DataFrame]:
         """(repeated contents, mixed cores) of everything added so far."""
-        return reduce(DataFrame.unionByName, self.repeated).distinct(), reduce(DataFrame.unionByName, self.mixed).distinct()
-
-    def representatives(self, cores: DataFrame) -> DataFrame:
-        """One place of every different content of the cores."""
-        every = None
-        for level in self.levels.values():
-            every = level if every is None else every.unionByName(level)
-        hit = every.join(cores, "core", "left_semi").groupBy("core", "content").agg(F.min("place").alias("place"))
-        return hit.select("core", "place.*")
+        levels = list(self.levels.values())
+        again = [x.where("n > 1").select("core", "content") for x in levels] + self.repeated
+        mixed = [self._ends(x).where("lo <> hi").select("core") for x in levels] + self.mixed
+        return reduce(DataFrame.unionByName, again).distinct(), reduce(DataFrame.unionByName, mixed).distinct()
 
 
 def _refine(rows: DataFrame, reps: DataFrame, width: int) -> DataFrame:
     """Units of ``width`` neighbouring windows of the representatives, with finer cores and contents."""
     # a place in one number: s, and how far e and p lie behind it (less than LENGTH each)
     place = F.shiftleft(F.col("s").cast("bigint"), 22) + F.shiftleft((F.col("e") - F.col("s")).cast("bigint"), 11) + (F.col("p") - F.col("s"))
-    per_doc = reps.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("core", place.alias("place"))).alias("u"))
-    per_doc = small(stage(per_doc, f"refine-{width}"), MAX_BROADCAST_ROWS, F.size("u"))
-    met = rows.join(per_doc, same(rows, per_doc, "doc_id", "tk")).select(rows["doc_id"], rows["tk"], "text", "u")
+    per_text = reps.groupBy("tk").agg(F.collect_list(F.struct("core", place.alias("place"))).alias("u"))
+    per_text = small(stage(per_text, f"refine-{width}"), MAX_BROADCAST_ROWS, F.size("u"))
+    met = rows.join(per_text, "tk").select("tk", "text", "u")
 
     def of(batches):
         for b in batches:
@@ -185,25 +187,31 @@ def _refine(rows: DataFrame, reps: DataFrame, width: int) -> DataFrame:
     return met.mapInArrow(of, _SPAN)
 
 
-def repeated_windows(rows: DataFrame) -> DataFrame:
-    """(doc_id, tk, s, e): ranges of window starts whose 400 bytes occur elsewhere too."""
-    sparse = stage(suffixes(rows), "suffixes")
+def _representatives(rows: DataFrame, mixed: DataFrame) -> DataFrame:
+    """One place of every different content of the mixed cores."""
+    hit = rows.join(mixed, "core", "left_semi").groupBy("core", "content").agg(F.min(F.struct(*_PLACE)).alias("place"))
+    return hit.select("core", "place.*")
+
+
+def repeated_windows(rows: DataFrame, sparse: DataFrame) -> DataFrame:
+    """(tk, s, e): ranges of window starts whose 400 bytes occur elsewhere too."""
     index = SuffixIndex()
-    batch = F.pmod(F.xxhash64("doc_id", "tk"), F.lit(BATCHES))
     for i in range(BATCHES):
-        index.add(sparse.where(batch == i))
-    again, mixed = index.found()
-    out = [sparse.join(again, ["core", "content"]).select("doc_id", "tk", "s", "e")]
-    reps = index.representatives(mixed)
+        index.add(sparse.where(F.col("batch") == i).select("core", "content"))
+    again, mixed = (small(stage(x, "found"), MAX_BROADCAST_ROWS) for x in index.found())
+    for level in index.levels.values():
+        drop_stage(level)
+    out = [sparse.join(again, ["core", "content"], "left_semi").select("tk", "s", "e")]
+    reps = _representatives(sparse, mixed)
     for width in (GROUP, 1):
         units = stage(_refine(rows, reps, width), f"units-{width}")
-        by = units.groupBy("core", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "tk", "s", "e", "p")).alias("place"))
-        by = stage(by, f"contents-{width}")
-        again = by.where("n > 1").select("core", "content")
-        out.append(units.join(again, ["core", "content"]).select("doc_id", "tk", "s", "e"))
+        # two places make a repeat; copies of a text have one place here, and are known to be repeated
+        at = F.struct("tk", "s")
+        by = stage(units.groupBy("core", "content").agg((F.min(at) != F.max(at)).alias("twice")), f"contents-{width}")
+        again = small(stage(by.where("twice").select("core", "content"), "found"), MAX_BROADCAST_ROWS)
+        out.append(units.join(again, ["core", "content"], "left_semi").select("tk", "s", "e"))
         if width > 1:
-            mixed = SuffixIndex._ends(by).where("lo <> hi").select("core")
-            reps = by.join(mixed, "core", "left_semi").select("core", "place.*")
+            reps = _representatives(units, small(stage(SuffixIndex._ends(by).where("lo <> hi").select("core"), "mixed"), MAX_BROADCAST_ROWS))
     return reduce(DataFrame.unionByName, out)
 
 
@@ -213,7 +221,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _cover(batches):
-    """From the packed window ranges of each document to its maximal runs of covered bytes, packed alike."""
+    """From the packed window ranges of each text to its maximal runs of covered bytes, packed alike."""
     for b in batches:
         runs = []
         for u in b["u"].to_pylist():
@@ -225,22 +233,35 @@ def _cover(batches):
                 else:
                     out.append([s, e])
             runs.append([s << 32 | e for s, e in out])
-        yield pa.record_batch({"doc_id": b["doc_id"], "tk": b["tk"], "u": pa.array(runs, pa.list_(pa.int64()))})
+        yield pa.record_batch({"tk": b["tk"], "u": pa.array(runs, pa.list_(pa.int64()))})
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes)."""
+    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, kept (the remaining bytes).
+
+    ``n_passages``: different windows of 51 words that another document holds too; 0 if no passage of over 50 words is shared.
+    """
+    from .passages import n_windows, shared_windows
+
     rows = _keyed(docs)
+    sparse = stage(suffixes(rows), "suffixes", by="batch")
     packed = F.shiftleft(F.col("s").cast("bigint"), 32) + F.col("e")
-    ranges = repeated_windows(rows).groupBy("doc_id", "tk").agg(F.collect_set(packed).alias("u"))
-    ranges = stage(ranges.mapInArrow(_cover, "doc_id bigint, tk bigint, u array<bigint>"), "ranges")
-    ranges = small(ranges, MAX_BROADCAST_ROWS, F.size("u"))
-    met = rows.join(ranges, same(rows, ranges, "doc_id", "tk"), "left").select(rows["doc_id"], "text", "u")
+    ranges = repeated_windows(rows, sparse).groupBy("tk").agg(F.collect_set(packed).alias("u"))
+    ranges = stage(ranges.mapInArrow(_cover, "tk bigint, u array<bigint>"), "ranges")
+    who = F.xxhash64("doc_id")
+    copies = rows.groupBy("tk").agg(F.min(who).alias("lo"), F.max(who).alias("hi")).where("lo <> hi").select("tk", F.lit(True).alias("copied"))
+    passages = shared_windows(rows, sparse.count())
+    found = ranges.join(passages, "tk", "full_outer").join(copies, "tk", "full_outer")
+    found = small(stage(found, "found"), MAX_BROADCAST_ROWS, F.greatest(F.size("u"), F.lit(1)))
+    met = rows.join(found, "tk", "left").select("doc_id", "text", "u", F.coalesce("n_windows", F.lit(0).cast("bigint")).alias("n_windows"), F.coalesce("copied", F.lit(False)).alias("copied"))
 
     def of(batches):
         for b in batches:
             for part in slices(b):
-                out = {"doc_id": part["doc_id"].to_pylist(), "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "kept": []}
+                copied, n = np.asarray(part["copied"].to_numpy(zero_copy_only=False), bool), np.asarray(part["n_windows"])
+                if copied.any():  # every window of a copied text stands in its copy
+                    n = np.where(copied, n_windows(part["text"]), n)
+                out = {"doc_id": part["doc_id"].to_pylist(), "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "n_passages": n.tolist(), "kept": []}
                 for raw, u in zip(part["text"].cast(pa.binary()).to_pylist(), part["u"].to_pylist(), strict=True):
                     spans = [(x >> 32, x & 0xFFFFFFFF) for x in u or ()]
                     at, kept = 0, []
@@ -253,9 +274,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                     out["n_spans"].append(len(spans))
                     out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
                     out["kept"].append(kept)
-                yield pa.record_batch({k: pa.array(v, t) for (k, v), t in zip(out.items(), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)})
+                kinds = {"kept_sha256": pa.string(), "kept": pa.binary()}
+                yield pa.record_batch({k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()})
 
-    return met.mapInArrow(of, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    return met.mapInArrow(of, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_passages bigint, kept binary")
 
 
 def op1_substrings(spark, sf_dir):
