@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .common import drop_stage, stage
 
-#: Rounds after which the edges must have settled; each at least halves the depth, so this is never met.
+#: Rounds after which the edges must have settled, else it is an error; each at least halves the depth.
 MAX_ROUNDS = 60
 #: Edges that a file of a staged round holds about: small graphs aren't written as one tiny file per shuffle partition.
 FILE_EDGES = 500_000
@@ -42,9 +42,10 @@ def components(edges: DataFrame) -> DataFrame:
     collected but a count and a yes or no per round.
     """
     now = stage(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    for _ in range(MAX_ROUNDS):
-        if not (held := now.count()) or not _unsettled(now):
-            break
+    rounds = 0
+    while (held := now.count()) and _unsettled(now):
+        if (rounds := rounds + 1) > MAX_ROUNDS:
+            raise RuntimeError(f"components are unsettled after {MAX_ROUNDS} rounds")
         after = stage(_small(_large(now)).coalesce(held // FILE_EDGES + 1), "edges")
         drop_stage(now)
         now = after
