@@ -56,6 +56,14 @@ def small(df: DataFrame, max_rows: int, items: Column | None = None, max_items:
     return F.broadcast(df) if rows <= max_rows and held <= max_items else df
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_key(column: str = "text") -> Column:
     """64-bit content key; with doc_id it identifies a row up to exact repetition."""
     return F.xxhash64(F.coalesce(F.col(column), F.lit("")))

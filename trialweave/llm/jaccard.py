@@ -29,7 +29,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, same, small, stage, table, text_key
+from .common import bounded_batches, same, small, stage, table, text_key, unused
 from .graph import components, forest
 from .textkit import SPACE_WORDS, batch_bytes, distinct_by_row, set_keys, shingles, slices, word_hashes, words
 
@@ -317,19 +317,30 @@ def _class_links(sigs: DataFrame, sets: DataFrame) -> DataFrame:
     comp = stage(components(edges), "components")
     lists = stage(_across(sigs, comp).join(small(blocks.select("sk", "block"), MAX_BROADCAST_ROWS), "sk"), "across")
     members = stage(lists.select("block", "sk", "comp").distinct(), "members")
-    # lists that meet in the same blocks ask for the same pairs of blocks once
-    together = lists.groupBy("sig").agg(F.array_sort(F.collect_set("block")).alias("met")).where(F.size("met") > 1).select("met").distinct()
-    pairs = F.flatten(F.transform("met", lambda a, i: F.transform(F.slice("met", i + 2, F.size("met")), lambda b: F.struct(a.alias("ba"), b.alias("bb")))))
-    meet = together.select(F.explode(pairs).alias("x")).select("x.ba", "x.bb").distinct()
-    ends = members.groupBy("block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    first, second = ends.withColumnsRenamed({"block": "ba"}), ends.withColumnsRenamed({"block": "bb", "lo": "lo2", "hi": "hi2"})
-    meet = stage(meet.join(first, "ba").join(second, "bb").where((F.col("lo") != F.col("hi2")) | (F.col("hi") != F.col("lo2"))).select("ba", "bb"), "meet")
+    meet = stage(_block_pairs(lists, members), "meet")
     left = meet.join(members, meet["ba"] == members["block"]).select("ba", "bb", "sk", F.lit(0).alias("side"), "comp")
     right = meet.join(members, meet["bb"] == members["block"]).select("ba", "bb", "sk", F.lit(1).alias("side"), "comp")
     new = stage(_links(left.unionByName(right), sets), "across-links")
     return components(edges.unionByName(new))
 
 
+def _block_pairs(lists: DataFrame, members: DataFrame) -> DataFrame:
+    """(ba, bb): blocks that meet in a list and are not of one component.
+
+    Lists that meet in the same blocks are one group.  Most blocks of a large group are wholly of its main component;
+    these need not meet each other, so only the others are paired, with all of the group: as rows, never in one array.
+    """
+    together = lists.groupBy("sig").agg(F.array_sort(F.collect_set("block")).alias("met")).where(F.size("met") > 1).select("met").distinct()
+    ends = members.groupBy("block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    groups = together.select(F.xxhash64("met").alias("group"), F.explode("met").alias("block")).join(small(stage(ends, "ends"), MAX_BROADCAST_ROWS), "block")
+    groups = stage(groups, "groups")
+    main = groups.where("lo = hi").groupBy("group", "lo").agg(F.count(F.lit(1)).alias("n")).groupBy("group").agg(F.max_by("lo", F.struct("n", "lo")).alias("main"))
+    marked = stage(groups.join(small(stage(main, "main"), MAX_BROADCAST_ROWS), "group", "left").withColumn("odd", ~F.coalesce((F.col("lo") == F.col("main")) & (F.col("hi") == F.col("main")), F.lit(False))), "marked")
+    odd = marked.where("odd").select("group", F.col("block").alias("x"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    met = marked.join(odd, "group").where((F.col("block") != F.col("x")) & ((F.col("lo") != F.col("hi2")) | (F.col("hi") != F.col("lo2"))))
+    return met.select(F.least("block", "x").alias("ba"), F.greatest("block", "x").alias("bb")).distinct()
+
+
 def _across(sigs: DataFrame, comp: DataFrame) -> DataFrame:
     """The lists in which more than one component meets, with each member's component."""
     known = small(comp.select(F.col("node").alias("sk"), F.col("component").alias("comp")), MAX_BROADCAST_ROWS)
@@ -390,9 +401,10 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     stays = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("tk") == F.col("least.tk"))
     gone = found.where((F.col("n") > 0) & ~stays).select("doc_id", "tk").distinct()
     gone = small(stage(gone, "gone"), MAX_BROADCAST_ROWS)
-    mine = docs.withColumn("__tk", text_key())
-    kept = mine.join(gone, (mine["__tk"] == gone["tk"]) & mine["doc_id"].cast("bigint").eqNullSafe(gone["doc_id"]), "left_anti")
-    return kept.dropDuplicates(["doc_id", "__tk"]).drop("__tk")
+    tk = unused(docs, "__tk")
+    mine = docs.withColumn(tk, text_key())
+    kept = mine.join(gone, (mine[tk] == gone["tk"]) & mine["doc_id"].cast("bigint").eqNullSafe(gone["doc_id"]), "left_anti")
+    return kept.dropDuplicates(["doc_id", tk]).drop(tk)
 
 
 def op4_jaccard(spark, sf_dir):
