@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The terminologies.
@@ -16,6 +17,41 @@ MAX_BROADCAST_ROWS = 1_000_000
 MAX_DEPTH = 16
 
 
+#: How each terminology writes its versions.
+_MONTHS = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
+_DATES = {"snomed": r"^(\d{4})(\d{2})(\d{2})$", "neoplasm": r"^(\d{4})-(\d{2})-(\d{2})$", "medrt": r"^(\d{4})\.(\d{2})\.(\d{2})$"}
+
+
+def version_key(kind: str, token: Column) -> Column:
+    """array<bigint> by which a terminology's versions are ordered; NULL, which is lowest, for what is none."""
+    t, kind = F.trim(token), kind.lower()
+    part = lambda p, i: F.regexp_extract(t, p, i)
+    month = lambda name: F.when(F.array_position(F.array(*map(F.lit, _MONTHS)), F.upper(name)) > 0, F.array_position(F.array(*map(F.lit, _MONTHS)), F.upper(name)))
+    dotted = F.when(t.rlike(r"^\d{1,9}(\.\d{1,9})*$"), F.transform(F.split(t, r"\."), lambda x: x.cast("bigint")))
+    day = lambda y, m, d: F.try_to_date(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
+    date_key = lambda d: F.when(d.isNotNull(), F.array(F.unix_date(d).cast("bigint")))
+    if kind in ("meddra", "loinc"):
+        return dotted
+    if kind == "whodrug":
+        p = r"^([A-Za-z]{3})_(\d{4})$"
+        return F.when(month(part(p, 1)).isNotNull(), F.array(part(p, 2).try_cast("bigint"), month(part(p, 1)).cast("bigint")))
+    if kind in _DATES:
+        p = _DATES[kind]
+        found = date_key(F.when(t.rlike(p), day(part(p, 1), part(p, 2), part(p, 3))))
+        return F.coalesce(found, dotted) if kind == "medrt" else found
+    if kind == "unii":
+        p = r"^(\d{1,2})([A-Za-z]{3})(\d{4})$"
+        return date_key(F.when(t.rlike(p) & month(part(p, 2)).isNotNull(), day(part(p, 3), month(part(p, 2)).cast("string"), part(p, 1))))
+    return F.lit(None).cast("array<bigint>")
+
+
+def by_version(df: DataFrame, kind: str, column: str, installed: str | None = None) -> DataFrame:
+    """Versions, the latest first; those that cannot be read come last, by their date of installation, then by text."""
+    key = version_key(kind, F.col(column))
+    more = [F.col(installed).desc_nulls_last()] if installed else []
+    return df.orderBy(key.desc_nulls_last(), *more, F.col(column).desc())
+
+
 def _sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS else df
 
@@ -67,7 +103,9 @@ class Dictionary:
         """(level, term, up_level, ancestor) of all ancestors; stops when a step adds none."""
         now = self.edges.select("level", F.upper("term").alias("term"), "up_level", F.upper("ancestor").alias("ancestor")).distinct()
         n = now.count()
-        for _ in range(MAX_DEPTH):
+        for depth in itertools.count(1):
+            if depth > MAX_DEPTH:
+                raise ValueError(f"a hierarchy deeper than {1 << MAX_DEPTH} levels")
             up = now.select(F.col("level").alias("up_level"), F.col("term").alias("ancestor"), F.col("up_level").alias("l2"), F.col("ancestor").alias("a2"))
             now = now.unionByName(now.join(up, ["up_level", "ancestor"]).select("level", "term", F.col("l2").alias("up_level"), F.col("a2").alias("ancestor"))).distinct()
             if (m := now.count()) == n:

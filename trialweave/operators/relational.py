@@ -13,6 +13,10 @@ from ..model.table import ROW, Table, kind_of, mis, number_rows, quoted
 _SPARK = {"STRING": "string", "LONG": "bigint", "DOUBLE": "double", "BOOLEAN": "boolean", "OTHER": "string"}
 
 
+#: Of a row map's rows: the row of the table that they show.
+BASE_ROW = "__base_row"
+
+
 class TypeClash(ValueError):
     """Columns of one name have different types and neither is blank."""
 
@@ -44,11 +48,13 @@ def project(t: Table, names: list[str | None], optional: bool = False) -> Table:
 def row_map(t: Table, view: DataFrame, missing: int = 64) -> Table:
     """Rows by a map (out_row, base_row): filter, sort, sample or expand.  base_row -1: a row of defaults.
 
-    Text cells of such rows are '', others missing with the given code.
+    Text cells of such rows are '', others missing with the given code.  ``__base_row`` tells the row that a row shows;
+    through several maps it goes back to the first table's.
     """
     base = t.df.withColumnRenamed(ROW, "base_row")
     joined = view.join(base, "base_row", "left")
-    out = [F.col("out_row").alias(ROW)]
+    first = F.col(BASE_ROW) if BASE_ROW in t.df.columns else F.col("base_row")
+    out = [F.col("out_row").alias(ROW), F.when(F.col("base_row") == -1, F.lit(-1)).otherwise(first).cast("bigint").alias(BASE_ROW)]
     gone = F.col("base_row") == -1
     for c in t.columns:
         v = F.col(quoted(c))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.dictionary import Dictionary
+from ..model.table import ROW, number_rows
+from ..operators.dictionary import Dictionary, by_version
 from ..operators.report import findings, summary
 from .common import keyed, read
 
@@ -42,6 +43,25 @@ def dictionary_valid_term(spark, sf_dir):
     return out.select("c_custkey", "valid", "exact")
 
 
+@query("""WITH m AS (SELECT unnest(['JAN','FEB','MAR','APR','MAY','JUN','JUL','AUG','SEP','OCT','NOV','DEC']) AS name, unnest(range(1, 13)) AS m),
+w AS (SELECT DISTINCT 'whodrug' AS kind, CASE WHEN c_custkey % 50 = 0 THEN 'draft' || (c_custkey % 3) ELSE name || '_' || (2000 + c_custkey % 21) END AS token, CASE WHEN c_custkey % 50 <> 0 THEN 12 * (2000 + c_custkey % 21) + m END AS k FROM customer JOIN m ON m = 1 + c_custkey % 12),
+d AS (SELECT DISTINCT 'meddra' AS kind, (c_custkey % 23) || '.' || (c_custkey % 13) AS token, (c_custkey % 23) * 100 + c_custkey % 13 AS k FROM customer)
+SELECT kind, token, row_number() OVER (PARTITION BY kind ORDER BY k DESC NULLS LAST, token DESC) AS place FROM (SELECT * FROM w UNION ALL SELECT * FROM d)""")
+def dictionary_version_order(spark, sf_dir):
+    """Versions by what they say, not by their text; what is none comes last."""
+    c = read(spark, sf_dir, "customer")
+    names = F.array(*map(F.lit, ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")))
+    year = (F.lit(2000) + F.col("c_custkey") % 21).cast("string")
+    month = F.concat(F.element_at(names, (F.col("c_custkey") % 12 + 1).cast("int")), F.lit("_"), year)
+    tokens = {"whodrug": F.when(F.col("c_custkey") % 50 == 0, F.concat(F.lit("draft"), (F.col("c_custkey") % 3).cast("string"))).otherwise(month), "meddra": F.concat((F.col("c_custkey") % 23).cast("string"), F.lit("."), (F.col("c_custkey") % 13).cast("string"))}
+    out = None
+    for kind, token in tokens.items():
+        placed = number_rows(by_version(c.select(token.alias("token")).distinct(), kind, "token"))
+        one = placed.select(F.lit(kind).alias("kind"), "token", (F.col(ROW) + 1).alias("place"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("SELECT s_suppkey, n_name AS decode FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey")
 def dictionary_decode(spark, sf_dir):
     s = read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").cast("string").alias("code"))

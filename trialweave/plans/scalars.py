@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions import values as V
+from ..functions.formats import codelist_alias, codelist_format, is_unwrapped_time
 from ..functions.keys import coalesced, tag, text_tag
 from ..model.table import Table
 from .common import keyed, read
@@ -120,3 +121,20 @@ def scalar_format_category(spark, sf_dir):
 @query("SELECT p_partkey, (p_partkey - 21916) * 86400.0::DOUBLE AS s FROM part")
 def scalar_excel_serial(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", D.excel_seconds(F.col("p_partkey")).cast("double").alias("s"))
+
+
+@query("""SELECT p_partkey, p_size % 4 IN (0, 3) AS unwrapped FROM part""")
+def scalar_unwrapped_time(spark, sf_dir):
+    """Times that are not taken modulo a day, by format with and without width."""
+    names = F.array(*map(F.lit, ("TIME8.", "tod5.", "DATETIME20.", "e8601tm")))
+    return read(spark, sf_dir, "part").select("p_partkey", is_unwrapped_time(F.element_at(names, (F.col("p_size") % 4 + 1).cast("int"))).alias("unwrapped"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '$' || c_mktsegment ELSE c_mktsegment END AS format,
+CASE WHEN c_custkey % 3 = 0 AND c_custkey % 2 = 0 THEN '$F' || c_custkey WHEN c_custkey % 3 = 1 AND c_custkey % 2 = 1 THEN 'F' || c_custkey END AS alias FROM customer""")
+def scalar_codelist_formats(spark, sf_dir):
+    """Format names of code lists, and usable further names: with a $ exactly for text, not equal but for case."""
+    text = F.col("c_custkey") % 2 == 0
+    number = F.col("c_custkey").cast("string")
+    given = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("$F"), number)).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("F"), number)).otherwise(F.lower(codelist_format(F.col("c_mktsegment"), text)))
+    return read(spark, sf_dir, "customer").select("c_custkey", codelist_format(F.col("c_mktsegment"), text).alias("format"), codelist_alias(F.col("c_mktsegment"), given, text).alias("alias"))

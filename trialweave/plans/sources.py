@@ -124,6 +124,15 @@ def source_parquet(spark, sf_dir):
     return t.df.select("o_orderkey", "day_1960", "o_totalprice", F.when(F.lit(n[0] == n[2] + 1 and n[1] == 0), F.lit(n[0])).cast("bigint").alias("n_rows"))
 
 
+@query("""SELECT * FROM (VALUES ('o_orderkey', 'LONG'), ('o_orderdate', 'DOUBLE'), ('o_totalprice', 'DOUBLE'), ('o_orderstatus', 'STRING')) AS c("column", kind), (SELECT count(*) AS n_rows FROM orders)""")
+def source_described(spark, sf_dir):
+    """Columns and rows of a file without reading its cells."""
+    path = _place(spark, "orders.parquet")
+    read(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("o_orderdate"), "o_totalprice", "o_orderstatus").write.parquet(path)
+    columns, n = catalog.describe(spark, path)
+    return spark.createDataFrame([(c["name"], c["kind"], n) for c in columns], "column string, kind string, n_rows bigint")
+
+
 @query("SELECT 'region' AS member, 5 AS n_rows UNION ALL SELECT 'nation', 25")
 def source_folder(spark, sf_dir):
     """A folder as a library: its members by name, and their rows."""

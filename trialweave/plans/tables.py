@@ -40,6 +40,21 @@ def table_row_map(spark, sf_dir):
     return row_map(t, view).df.select(F.col(ROW).alias("out_row"), "s_name")
 
 
+@query("""SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS shown, s_suppkey AS real, s_name FROM (SELECT * FROM supplier WHERE s_acctbal > 0) WHERE s_suppkey % 2 = 0""")
+def table_real_rows(spark, sf_dir):
+    """A view of a view: every shown row knows the row of the first table."""
+    from ..model.table import number_rows
+
+    def view(t, rows):
+        picked = number_rows(rows.select(F.col(ROW).alias("base_row")), ["base_row"])
+        return row_map(t, picked.select(F.col(ROW).alias("out_row"), "base_row"))
+
+    t = keyed(spark, sf_dir, "supplier", ["s_suppkey", "s_name", "s_acctbal"])
+    t = view(t, t.df.where("s_acctbal > 0"))
+    t = view(t, t.df.where("s_suppkey % 2 = 0"))
+    return t.df.select(F.col(ROW).alias("shown"), F.col("__base_row").alias("real"), "s_name")
+
+
 @query("SELECT p_partkey, p_name FROM part WHERE p_partkey >= 100 AND p_partkey < 300")
 def table_slice(spark, sf_dir):
     return row_slice(keyed(spark, sf_dir, "part", ["p_partkey", "p_name"]), 100, 300).df.drop(ROW)

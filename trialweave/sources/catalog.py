@@ -49,6 +49,23 @@ def read(spark: SparkSession, uri: str, **options) -> Table:
     return READERS[found](spark, path, **({"member": member} if member else {}), **options)
 
 
+def describe(spark: SparkSession, uri: str, **options) -> tuple[list[dict], int]:
+    """(columns: name, kind, label, displayFormat; rows) of a table, without its cells where the format says so itself."""
+    path, _, member = uri.partition("#")
+    found = format_of(path)
+    if found == "sas7bdat":
+        meta = sas7bdat.described(spark, path)
+        return [{"name": c["name"], "kind": "DOUBLE" if c["number"] else "STRING", "label": c["label"], "displayFormat": c["displayFormat"]} for c in meta["columns"]], meta["rows"]
+    if found == "parquet":
+        df = spark.read.options(**options).parquet(path)
+        t, rows = Table(normalise.parquet(df)), df.count()  # the footers know both
+    else:
+        t = read(spark, uri, **options)
+        rows = t.meta.get("records") if t.meta.get("records") is not None else t.df.count()
+    info = lambda c: t.df.schema[c].metadata
+    return [{"name": c, "kind": t.kind(c), "label": info(c).get("label", ""), "displayFormat": info(c).get("displayFormat", "")} for c in t.columns], rows
+
+
 def register(name: str, pattern: str, reader) -> None:
     """Add a format: its name, a pattern of file names, and a reader (spark, path, **options) -> Table."""
     global FORMATS
