@@ -127,6 +127,15 @@ def _any_blank(t: Table, names: list[str]) -> Column:
     return out
 
 
+def _plain(left: Table, a: str, right: Table, b: str) -> bool:
+    """Whether cells of two columns are one key exactly if they are equal: one type, and missing in one way only."""
+    return left.kind(a) == right.kind(b) in ("LONG", "STRING", "BOOLEAN") and mis(a) not in left.df.columns and mis(b) not in right.df.columns
+
+
+def _whole(t: Table, name: str) -> Column:
+    return t.col(name).cast("bigint") if t.kind(name) == "LONG" else t.col(name)
+
+
 def merge_keyed(primary: Table, partners: list[Keyed], naming: Naming = Naming(), matched: bool = True) -> Merged:
     """Primary rows with each partner's matching rows, n:m, in partner order.
 
@@ -150,8 +159,9 @@ def merge_keyed(primary: Table, partners: list[Keyed], naming: Naming = Naming()
         q = spec.table.df if spec.mask is None else spec.table.df.where(spec.mask)
         if not spec.keep_missings:
             q = q.where(~_any_blank(spec.table, rights))
+        plain = [not spec.as_text and _plain(current, a, spec.table, b) for a, b in active]
         for i, b in enumerate(rights):
-            q = q.withColumn(f"__k{i}", make(spec.table, b))
+            q = q.withColumn(f"__k{i}", _whole(spec.table, b) if plain[i] else make(spec.table, b))
         keys = [f"__k{i}" for i in range(len(rights))]
         if spec.first_match:
             q = q.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(ROW))).where("__rn = 1").drop("__rn")
@@ -170,11 +180,10 @@ def merge_keyed(primary: Table, partners: list[Keyed], naming: Naming = Naming()
         q = q.select(*out)
         left = current.df
         for i, a in enumerate(lefts):
-            value = make(current, a)
-            left = left.withColumn(f"__k{i}", F.when(~_any_blank(current, lefts), value) if not spec.keep_missings else value)
-        cond = F.lit(True)
-        for k in keys:
-            cond = cond & (F.col(k) == F.col(f"__r{k}"))
+            left = left.withColumn(f"__k{i}", _whole(current, a) if plain[i] else make(current, a))
+        # blank keys were left out of the partner, so that equality doesn't meet them where they don't count
+        same = [F.col(k).eqNullSafe(F.col(f"__r{k}")) if p and spec.keep_missings else F.col(k) == F.col(f"__r{k}") for k, p in zip(keys, plain, strict=True)]
+        cond = _all(same)
         joined = left.join(q, cond, "inner" if spec.how == "inner" else "left").drop(*keys, *[f"__r{k}" for k in keys])
         found = F.col(quoted(f"__row_{part}")).isNotNull()
         joined = joined.withColumn(f"__sup__{part}", found)
