@@ -4,7 +4,8 @@ Steps (documents D, benchmark items B):
 
 1. Every benchmark item gives windows of 13 consecutive words (a shorter item is one window).
 2. One pass over D counts the terms that the windows use; each window is planned by its rarest terms.
-3. A second pass stores postings ``(term, document, positions)`` for the planned terms, partitioned by term.
+3. A second pass stores postings ``(term, text, positions)`` for the planned terms, one for each different text,
+   dealt by term and text, so that the postings of a common term are spread.
 4. Offset-adjusted lists are intersected from the rarest term: a posting of term t at position p proposes the start
    ``p - offset(t)``; the next terms must have ``start + offset`` in their own list of the same document.
 5. What survives is compared word by word with the document (exact phrase), and covered words are counted.
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bounded_batches, same, small, stage, text_key
+from .common import bounded_batches, small, stage, text_key, unused
 from .textkit import ALNUM_WORDS
 
 WINDOW = 13
@@ -79,23 +80,27 @@ def term_counts(docs: DataFrame, vocabulary: set[bytes]) -> DataFrame:
 
 
 def postings(docs: DataFrame, terms: set[bytes]) -> DataFrame:
-    """(term, doc_id, tk, positions), positions ascending, for the given terms."""
+    """(term, tk, positions), positions ascending, for the given terms; rows of equal text each give theirs."""
 
     def of(batches):
         for b in batches:
-            ids, keys, ts, ps = [], [], [], []
-            for i, k, text in zip(b["doc_id"].to_pylist(), b["tk"].to_pylist(), b["text"].to_pylist(), strict=True):
+            keys, ts, ps = [], [], []
+            for k, text in zip(b["tk"].to_pylist(), b["text"].to_pylist(), strict=True):
                 found: dict[bytes, list[int]] = {}
                 for p, w in enumerate(split_words(text)):
                     if w in terms:
                         found.setdefault(w, []).append(p)
-                ids += [i] * len(found)
                 keys += [k] * len(found)
                 ts += found.keys()
                 ps += found.values()
-            yield pa.record_batch({"term": pa.array(ts, pa.binary()), "doc_id": pa.array(ids, pa.int64()), "tk": pa.array(keys, pa.int64()), "positions": pa.array(ps, pa.list_(pa.int32()))})
+            yield pa.record_batch({"term": pa.array(ts, pa.binary()), "tk": pa.array(keys, pa.int64()), "positions": pa.array(ps, pa.list_(pa.int32()))})
 
-    return docs.select("doc_id", "tk", "text").mapInArrow(of, "term binary, doc_id bigint, tk bigint, positions array<int>")
+    return docs.select("tk", "text").mapInArrow(of, "term binary, tk bigint, positions array<int>")
+
+
+def inverted(docs: DataFrame, terms: set[bytes]) -> DataFrame:
+    """The index: postings of each different text once."""
+    return postings(docs, terms).groupBy("term", "tk").agg(F.first("positions").alias("positions")).sortWithinPartitions("term")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -104,47 +109,51 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def candidates(index: DataFrame, plan: DataFrame, lists: int) -> DataFrame:
-    """(doc_id, tk, wid, start) whose offset-adjusted lists meet, from each window's rarest term on."""
+    """(tk, wid, start) whose offset-adjusted lists meet, from each window's rarest term on."""
     bounded = F.broadcast  # a block's plan: at most MAX_WINDOWS * lists rows
     first = index.join(bounded(plan.where("r = 1")), "term")
-    found = first.select("doc_id", "tk", "wid", F.explode("positions").alias("p"), "offset").select("doc_id", "tk", "wid", (F.col("p") - F.col("offset")).alias("start")).where("start >= 0")
+    found = first.select("tk", "wid", F.explode("positions").alias("p"), "offset").select("tk", "wid", (F.col("p") - F.col("offset")).alias("start")).where("start >= 0")
     for r in range(2, lists + 1):
         step = bounded(plan.where(F.col("r") == r).select("wid", F.col("term").alias("t_r"), F.col("offset").alias("o_r")))
         want = found.join(step, "wid", "left")
-        other = index.select(F.col("term").alias("t_r"), F.col("doc_id").alias("d_r"), F.col("tk").alias("k_r"), F.col("positions").alias("p_r"))
-        met = want.join(other, (want["t_r"] == other["t_r"]) & (want["tk"] == other["k_r"]) & want["doc_id"].eqNullSafe(other["d_r"]), "left")
-        found = met.where(want["t_r"].isNull() | F.array_contains("p_r", F.col("start") + F.col("o_r"))).select("doc_id", "tk", "wid", "start")
+        other = index.select(F.col("term").alias("t_r"), F.col("tk").alias("k_r"), F.col("positions").alias("p_r"))
+        met = want.join(other, (want["t_r"] == other["t_r"]) & (want["tk"] == other["k_r"]), "left")
+        found = met.where(want["t_r"].isNull() | F.array_contains("p_r", F.col("start") + F.col("o_r"))).select("tk", "wid", "start")
     return found.distinct()
 
 
 def _verify(docs: DataFrame, cand: DataFrame, wins: dict[int, tuple[list[bytes], list[str]]]) -> DataFrame:
-    """Exact phrases: (doc_id, tk, hits as [from, to) pairs, items) of the documents that have any."""
-    per_doc = stage(cand.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("wid", "start")).alias("c")), "cand")
-    per_doc = small(per_doc, MAX_BROADCAST_ROWS, F.size("c"))
-    rows = docs.join(per_doc, same(docs, per_doc, "doc_id", "tk"), "inner").select(docs["doc_id"], docs["tk"], "text", "c")
+    """Exact phrases: (tk, hits as [from, to) pairs that don't touch, items) of the texts that have any."""
+    per_text = stage(cand.groupBy("tk").agg(F.collect_list(F.struct("wid", "start")).alias("c")), "cand")
+    per_text = small(per_text, MAX_BROADCAST_ROWS, F.size("c"))
+    rows = docs.join(per_text, "tk").select("tk", "text", "c")
 
     def of(batches):
         for b in batches:
-            ids, keys, hits, items = [], [], [], []
-            for i, k, text, c in zip(b["doc_id"].to_pylist(), b["tk"].to_pylist(), b["text"].to_pylist(), b["c"].to_pylist(), strict=True):
+            keys, hits, items = [], [], []
+            for k, text, c in zip(b["tk"].to_pylist(), b["text"].to_pylist(), b["c"].to_pylist(), strict=True):
                 w = split_words(text)
                 spans, own = [], set()
-                for x in c:
+                for x in sorted(c, key=lambda x: x["start"]):
                     want, of_items = wins[x["wid"]]
                     s = x["start"]
                     if w[s : s + len(want)] == want:
-                        spans.append({"a": s, "b": s + len(want)})
+                        if spans and s <= spans[-1]["b"]:
+                            spans[-1]["b"] = max(spans[-1]["b"], s + len(want))
+                        else:
+                            spans.append({"a": s, "b": s + len(want)})
                         own.update(of_items)
                 if spans:
-                    ids.append(i), keys.append(k), hits.append(spans), items.append(list(own))
+                    keys.append(k), hits.append(spans), items.append(sorted(own))
             span = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-            yield pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "tk": pa.array(keys, pa.int64()), "hits": pa.array(hits, span), "items": pa.array(items, pa.list_(pa.string()))})
+            yield pa.record_batch({"tk": pa.array(keys, pa.int64()), "hits": pa.array(hits, span), "items": pa.array(items, pa.list_(pa.string()))})
 
-    return rows.mapInArrow(of, "doc_id bigint, tk bigint, hits array<struct<a:int,b:int>>, items array<string>")
+    found = rows.mapInArrow(of, "tk bigint, hits array<struct<a:int,b:int>>, items array<string>")
+    return found.groupBy("tk").agg(F.first("hits").alias("hits"), F.first("items").alias("items"))  # rows of equal text say the same
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, lists: int = LISTS, max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """(doc_id, tk, hits, items) of documents with exact occurrences of benchmark windows."""
+    """(tk, hits, items) of texts with exact occurrences of benchmark windows, one row a block of windows."""
     spark = docs.sparkSession
     docs = _keyed(docs)
     wins = stage(windows(benchmark, size).withColumn("wid", F.xxhash64("win")), "windows")
@@ -164,10 +173,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, lists: in
         if not rows:
             continue
         plan = spark.createDataFrame(rows, "wid bigint, r int, term binary, offset int")
-        index = stage(postings(docs, {x[2] for x in rows}).repartition("term").sortWithinPartitions("term"), "postings")
+        index = stage(inverted(docs, {x[2] for x in rows}), "postings")
         parts.append(_verify(docs, candidates(index, plan, lists), mine))
     if not parts:
-        return spark.createDataFrame([], "doc_id bigint, tk bigint, hits array<struct<a:int,b:int>>, items array<string>")
+        return spark.createDataFrame([], "tk bigint, hits array<struct<a:int,b:int>>, items array<string>")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -180,6 +189,7 @@ def proximity(docs: DataFrame, phrases: DataFrame, span: int, max_phrases: int =
     ``phrases`` (item_id, text) are searched in blocks of about ``max_phrases``; an item may have several.
     """
     spark = docs.sparkSession
+    keyed = _keyed(docs)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     asked = phrases.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), text.alias("text")).distinct()
     asked = stage(asked.withColumn("phrase", F.sha2(F.concat_ws("\0", "item", "text"), 256)), "phrases")
@@ -191,10 +201,11 @@ def proximity(docs: DataFrame, phrases: DataFrame, span: int, max_phrases: int =
         if not rows:
             continue
         plan = F.broadcast(spark.createDataFrame(rows, "item_id string, phrase string, term binary, need int"))
-        at = postings(_keyed(docs), {x[2] for x in rows}).join(plan, "term").select("item_id", "phrase", "doc_id", "tk", "need", "term", F.explode("positions").alias("p"))
-        w = Window.partitionBy("phrase", "doc_id", "tk").orderBy("p").rangeBetween(0, span - 1)
+        at = inverted(keyed, {x[2] for x in rows}).join(plan, "term").select("item_id", "phrase", "tk", "need", "term", F.explode("positions").alias("p"))
+        w = Window.partitionBy("phrase", "tk").orderBy("p").rangeBetween(0, span - 1)
         near = at.withColumn("have", F.size(F.collect_set("term").over(w))).where("have = need")
-        parts.append(near.groupBy("item_id", "phrase", "doc_id", "tk").agg(F.min("p").alias("at")).select("item_id", "doc_id", "at"))
+        near = near.groupBy("item_id", "phrase", "tk").agg(F.min("p").alias("at"))
+        parts.append(near.join(keyed.select("doc_id", "tk").distinct(), "tk").select("item_id", "doc_id", "at"))
     if not parts:
         return spark.createDataFrame([], "item_id string, doc_id bigint, at int")
     out = parts[0]
@@ -214,13 +225,16 @@ def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     counted = keyed.select("doc_id", "tk", "text").mapInArrow(count, "doc_id bigint, tk bigint, n_words bigint")
     found = matches(docs, benchmark)
-    hit = F.size(F.array_distinct(F.flatten(F.transform(F.flatten(F.collect_list("hits")), lambda x: F.sequence(x["a"], x["b"] - 1)))))
-    found = stage(found.groupBy("doc_id", "tk").agg(hit.cast("bigint").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")), "hits")
+    # one list a block of windows: covered words are counted once
+    count = lambda acc, x: F.struct(F.greatest(acc["end"], x["b"]).alias("end"), (acc["n"] + F.greatest(x["b"] - F.greatest(x["a"], acc["end"]), F.lit(0))).alias("n"))
+    zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
+    hit = F.aggregate(F.array_sort(F.flatten(F.collect_list("hits"))), zero, count, lambda acc: acc["n"])
+    found = stage(found.groupBy("tk").agg(hit.cast("bigint").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")), "hits")
     found = small(found, MAX_BROADCAST_ROWS, F.size("items"))
     zero = F.coalesce(F.col("n_hit"), F.lit(0).cast("bigint"))
     items = F.coalesce(F.col("items"), F.array().cast("array<string>"))
-    return counted.join(found, same(counted, found, "doc_id", "tk"), "left").select(
-        counted["doc_id"], counted["tk"], "n_words", zero.alias("n_hit"), F.size(items).cast("bigint").alias("n_items"),
+    return counted.join(found, "tk", "left").select(
+        "doc_id", "tk", "n_words", zero.alias("n_hit"), F.size(items).cast("bigint").alias("n_items"),
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), ((zero > 0) & (zero * 20 >= F.col("n_words"))).alias("contaminated"))
 
 
@@ -228,8 +242,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without those that the benchmark contaminates; all columns stay."""
     bad = judged(docs, benchmark).where("contaminated").select("doc_id", "tk").distinct()
     bad = small(stage(bad, "contaminated"), MAX_BROADCAST_ROWS)
-    mine = docs.withColumn("__tk", text_key())
-    return mine.join(bad, (mine["__tk"] == bad["tk"]) & mine["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti").drop("__tk")
+    tk = unused(docs, "__tk")
+    mine = docs.withColumn(tk, text_key())
+    return mine.join(bad, (mine[tk] == bad["tk"]) & mine["doc_id"].cast("bigint").eqNullSafe(bad["doc_id"]), "left_anti").drop(tk)
 
 
 def op3_decontaminate(spark, sf_dir):
