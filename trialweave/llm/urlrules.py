@@ -25,7 +25,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import small, stage, table
 
@@ -72,9 +71,9 @@ def templates(counted: DataFrame) -> DataFrame:
         child = F.coalesce(F.get(F.col("typed"), F.lit(d - 1)), F.lit("$"))
         tree = tree.withColumn("child", child)
         kids = tree.groupBy("host", "node", "child").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"), F.count(F.lit(1)).alias("paths"), F.max(F.size("typed")).alias("deep"))
-        node = Window.partitionBy("host", "node")
-        kids = kids.withColumn("node_l", F.sum("l").over(node)).withColumn("node_b", F.sum("b").over(node)).withColumn("kids", F.count(F.lit(1)).over(node))
-        kids = kids.withColumn("over", (F.sum("paths").over(node) == 1) | (F.max("deep").over(node) < d))
+        kids = stage(kids, f"kids-{d}")
+        node = kids.groupBy("host", "node").agg(F.sum("l").alias("node_l"), F.sum("b").alias("node_b"), F.count(F.lit(1)).alias("kids"), ((F.sum("paths") == 1) | (F.max("deep") < d)).alias("over"))
+        kids = kids.join(small(stage(node, f"nodes-{d}"), MAX_BROADCAST_ROWS), ["host", "node"])  # a node of many children is split here
         rest_l, rest_b = F.col("node_l") - F.col("l"), F.col("node_b") - F.col("b")
         share = F.col("node_b") / F.greatest(F.col("node_l"), F.lit(1))
         spread = F.sqrt(share * (1 - share) * (1 / F.greatest(F.col("l"), F.lit(1)) + 1 / F.greatest(rest_l, F.lit(1))))
