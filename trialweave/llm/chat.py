@@ -181,7 +181,7 @@ def read_back(formatted: DataFrame, template=None) -> DataFrame:
                 loss.update(learned.encode())
                 now["n_turns"] += 1
                 now["loss_chars"] += len(learned)
-                now["formatted_chars"] += len(r["piece"])
+                now["formatted_chars"] = r["start"] + len(r["piece"])
                 now["rewrites"] |= r["rewrites"]
             if len(out) >= 1000:
                 yield pa.RecordBatch.from_pylist(out, fields)
