@@ -58,7 +58,7 @@ def resolve(records: DataFrame) -> DataFrame:
     headers map<string,string> (lower-case names).
     """
     rows = records.select(
-        canonical_url(F.col("url")).alias("key"), F.col("ts"), (F.col("kind") == "response").cast("int").alias("full"), F.col("record_id"),
+        canonical_url(F.col("url")).alias("key"), F.col("ts"), F.coalesce(F.col("kind") == "response", F.lit(False)).cast("int").alias("full"), F.col("record_id"),
         F.struct("record_id", "ts", "etag", "last_modified", "digest", "n_bytes", F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers")).alias("r"))
     # revisits before responses of the same instant: only strictly earlier responses are seen
     order = ["ts", "full", "record_id"]
