@@ -35,3 +35,15 @@ def usable_format(name: Column, text: Column) -> Column:
 def codelist_alias(name: Column, sas_name: Column, text: Column) -> Column:
     """The further name of a code list's format: a usable one that is not its own but for case; else NULL."""
     return F.when(usable_format(sas_name, text) & (F.upper(sas_name) != F.upper(codelist_format(name, text))), sas_name)
+
+
+def spelled(name: Column, width: Column, decimals: Column, number: Column) -> Column:
+    """The spelling of a stored format: NAMEw.d, for text NAMEw., a bare w.d of numbers; NULL where there is no format.
+
+    A name that holds the whole spelling already, with neither width nor decimals beside it, stays as it is.
+    """
+    n = F.coalesce(F.trim(name), F.lit(""))
+    w = F.when(width > 0, width.cast("string")).otherwise("")
+    d = F.when(number & (decimals > 0), decimals.cast("string")).otherwise("")
+    whole = F.contains(n, F.lit(".")) & ~(width > 0) & ~(decimals > 0)
+    return F.when((n == "") & (~number | ~(width > 0)), None).when(whole, n).otherwise(F.concat(n, w, F.lit("."), d))

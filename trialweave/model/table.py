@@ -15,6 +15,20 @@ from pyspark.sql import types as T
 
 ROW = "__row"
 HIDDEN = "__"
+#: Where a table's encoding is from, the least certain first.
+ENCODING_SOURCES = ("DEFAULT", "CONFIGURED", "FORMAT", "DECLARED")
+
+
+def encoding_meta(encoding: str, source: str) -> dict:
+    return {"Encoding": encoding, "EncodingSource": source}
+
+
+def agreed_encoding(metas: list[dict]) -> dict:
+    """Of several tables: their one encoding or MIXED, from the least certain source; nothing if one has none."""
+    if not metas or any("Encoding" not in m for m in metas):
+        return {}
+    names = {m["Encoding"] for m in metas}
+    return encoding_meta(names.pop() if len(names) == 1 else "MIXED", min((m["EncodingSource"] for m in metas), key=ENCODING_SOURCES.index))
 
 
 def mis(name: str) -> str:

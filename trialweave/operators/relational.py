@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.keys import key, tag
-from ..model.table import ROW, Table, kind_of, mis, number_rows, quoted
+from ..model.table import ROW, Table, agreed_encoding, kind_of, mis, number_rows, quoted
 
 #: Spark types of the logical types, for columns that a union has to fill.
 _SPARK = {"STRING": "string", "LONG": "bigint", "DOUBLE": "double", "BOOLEAN": "boolean", "OTHER": "string"}
@@ -165,7 +165,7 @@ def union(*tables: Table, name: str = "") -> Table:
         out = part if out is None else out.unionByName(part)
         if i + 1 < len(tables):
             offset += (t.df.agg(F.max(ROW)).first()[0] or 0) + 1
-    return Table(out, name)
+    return Table(out, name, meta=agreed_encoding([t.meta for t in tables]))
 
 
 def overlay(t: Table, edits: DataFrame | None = None, column: str = "", rename: dict | None = None, drop: list[str] = (), add: dict | None = None, labels: dict | None = None, name: str | None = None) -> Table:

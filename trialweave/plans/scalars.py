@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions import values as V
-from ..functions.formats import codelist_alias, codelist_format, is_unwrapped_time
+from ..functions.formats import codelist_alias, codelist_format, is_unwrapped_time, spelled
 from ..functions.keys import coalesced, tag, text_tag
 from ..model.table import Table
 from .common import keyed, read
@@ -138,3 +138,12 @@ def scalar_codelist_formats(spark, sf_dir):
     number = F.col("c_custkey").cast("string")
     given = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("$F"), number)).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("F"), number)).otherwise(F.lower(codelist_format(F.col("c_mktsegment"), text)))
     return read(spark, sf_dir, "customer").select("c_custkey", codelist_format(F.col("c_mktsegment"), text).alias("format"), codelist_alias(F.col("c_mktsegment"), given, text).alias("alias"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN CASE WHEN p_size % 3 > 0 THEN 'BEST' || p_size || '.' || (p_size % 3) ELSE 'BEST' || p_size || '.' END
+WHEN 1 THEN '$CHAR' || p_size || '.' WHEN 2 THEN p_size || '.' || CASE WHEN p_size % 3 > 0 THEN (p_size % 3)::VARCHAR ELSE '' END WHEN 3 THEN 'DATE9.' END AS format FROM part""")
+def scalar_format_spelling(spark, sf_dir):
+    """Stored names, widths and decimals spelled as one."""
+    kind, size = F.col("p_partkey") % 5, F.col("p_size")
+    name = F.when(kind == 0, " BEST ").when(kind == 1, "$CHAR").when(kind == 2, "").when(kind == 3, "DATE9.")
+    return read(spark, sf_dir, "part").select("p_partkey", spelled(name, F.when(kind < 3, size).otherwise(0), F.when(kind == 3, 0).otherwise(size % 3), (kind != 1) & (kind != 4)).alias("format"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model.table import ROW
+from ..operators.relational import union
 from ..shared import shared_dir
 from ..sources import catalog, cdt, transport
 from .common import keyed, read
@@ -133,6 +134,17 @@ def source_described(spark, sf_dir):
     return spark.createDataFrame([(c["name"], c["kind"], n) for c in columns], "column string, kind string, n_rows bigint")
 
 
+@query("""SELECT 'csv' AS what, 'UTF-8' AS encoding, 'DEFAULT' AS source, (SELECT count(*) FROM region) AS n UNION ALL SELECT 'csv as latin-1', 'ISO-8859-1', 'CONFIGURED', (SELECT count(*) FROM region)
+UNION ALL SELECT 'both', 'MIXED', 'DEFAULT', 2 * (SELECT count(*) FROM region)""")
+def source_encoding(spark, sf_dir):
+    """What is known of a table's encoding, and of a union's."""
+    path = _place(spark, "region.csv")
+    read(spark, sf_dir, "region").select("r_regionkey", "r_name").write.option("header", True).csv(path)
+    a, b = catalog.read(spark, path), catalog.read(spark, path, encoding="ISO-8859-1")
+    found = {"csv": a, "csv as latin-1": b, "both": union(a, b)}
+    return spark.createDataFrame([(k, t.meta["Encoding"], t.meta["EncodingSource"], t.df.count()) for k, t in found.items()], "what string, encoding string, source string, n bigint")
+
+
 @query("SELECT 'region' AS member, 5 AS n_rows UNION ALL SELECT 'nation', 25")
 def source_folder(spark, sf_dir):
     """A folder as a library: its members by name, and their rows."""

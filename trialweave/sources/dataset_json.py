@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..model.table import ROW, Table, mis
+from ..model.table import ROW, Table, encoding_meta, mis
 from .lines import split_lines
 from .normalise import RULES, text_cell, text_number_cells
 
@@ -90,4 +90,4 @@ def read(spark: SparkSession, path: str, name: str = "", check: bool = True) ->
             out += [F.when(v == "true", True).when(v == "false", False).alias(column["name"], metadata=meta), F.when(v.isNotNull() & ~v.isin("true", "false"), 102).cast("tinyint").alias(mis(column["name"]))]
         else:
             out.append(text_cell(v, rules).alias(column["name"], metadata=meta))
-    return Table(data.select(*out), name or head.get("name", ""), head.get("label", ""), {"records": head.get("records")})
+    return Table(data.select(*out), name or head.get("name", ""), head.get("label", ""), {"records": head.get("records"), **encoding_meta("UTF-8", "FORMAT")})

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import is_sentinel, sentinel_code, strip
-from ..model.table import ROW, Table, mis
+from ..model.table import ROW, Table, encoding_meta, mis
 from .lines import numbered, split_lines
 from .normalise import RULES, text_cell, text_number_cells
 
@@ -125,7 +125,7 @@ def read(spark: SparkSession, path: str, delimiter: str | None = None, quote: st
         head = whole.where("place = 0").orderBy("file").select("c").first()
         names = header([x["v"] for x in head["c"]] if head else [])
         rows = numbered(whole).where("NOT head").select(ROW, "c")
-    return Table(typed(rows, names, guess), name)
+    return Table(typed(rows, names, guess), name, meta=encoding_meta(encoding.upper(), "DEFAULT" if plain else "CONFIGURED"))
 
 
 def typed(rows: DataFrame, names: list[str], guess: int) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..model.missing import MIS, MIS_ERROR, MIS_UNKNOWN
-from ..model.table import ROW, Table, mis
+from ..model.table import ROW, Table, encoding_meta, mis
 from .normalise import RULES, text_cell
 
 #: Pages that are decoded by one task together.
@@ -280,4 +280,4 @@ def read(spark: SparkSession, path: str, encoding: str | None = None) -> Table:
         if not c["number"]:
             df = df.withColumn(c["name"], text_cell(F.col(f"`{c['name']}`"), RULES["sas7bdat"]))
         df = df.withMetadata(c["name"], {k: c[k] for k in ("label", "length", "displayFormat")})
-    return Table(df, meta["name"], meta["label"], {"records": meta["rows"], "Encoding": code, "EncodingSource": "DECLARED" if meta["encoding"] else "CONFIGURED" if encoding else "DEFAULT"})
+    return Table(df, meta["name"], meta["label"], {"records": meta["rows"], **encoding_meta(code, "DECLARED" if meta["encoding"] else "CONFIGURED" if encoding else "DEFAULT")})

@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..model.missing import MIS_UNKNOWN
-from ..model.table import ROW, Table, mis
+from ..model.table import ROW, Table, encoding_meta, mis
 from .normalise import RULES, text_cell
 
 RECORD = 80
@@ -121,7 +121,7 @@ def read(spark: SparkSession, path: str, member: str | None = None, encoding: st
         if not c["number"]:
             df = df.withColumn(c["name"], text_cell(F.col(f"`{c['name']}`"), rules))
         df = df.withMetadata(c["name"], {"label": c["label"], "length": c["length"], "displayFormat": c["displayFormat"]})
-    return Table(df, info["name"], info["label"])
+    return Table(df, info["name"], info["label"], encoding_meta(encoding.upper(), "DEFAULT" if encoding == "latin-1" else "CONFIGURED"))
 
 
 def library(spark: SparkSession, path: str) -> list[str]:
