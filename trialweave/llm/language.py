@@ -6,7 +6,7 @@ on letters of the whole text.  A prediction is a weighted mean over the text's t
 look-up per byte and classifier: the corpus is read once, nothing is shuffled.
 
 Training uses a bounded sample: at most about ``SAMPLE`` different labelled texts per language, chosen by a hash of
-doc_id and text, as ``DIM`` floats each; every other step covers all rows.  Every labelled language is learned.  Where
+the text, as ``DIM`` floats each; every other step covers all rows.  Every labelled language is learned.  Where
 families are more than ``FAN``, like ones share a node, until no node of the tree has more than ``FAN`` branches.  The
 nodes are fitted as Spark tasks, each on about ``SAMPLE`` texts a branch that its languages share evenly (``LEAST`` a
 language at least); the model grows by about ``FAN / 2`` machines a language.  The driver gets a centre a language
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small, stage
+from .common import bounded_batches, small, stage
 from .textkit import batch_bytes, slices
 
 #: Labelled texts per language that the classifiers are fitted on, at most about.
@@ -273,10 +273,11 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Tree | None:
     Repeated texts count once: a group of copies, of one doc_id or of many, doesn't lengthen the sample.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     pool = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    sizes = stage(pool.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    sizes = stage(pool.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("n")), "languages")
     share = F.least(F.lit(1.0), 1.2 * sample / F.col("n")) * float(1 << 40)
-    chosen = pool.join(small(sizes, MAX_BROADCAST_ROWS), "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) < share)
+    chosen = pool.join(small(sizes, MAX_BROADCAST_ROWS), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < share)
     rows = stage(chosen.select("text", "lang").distinct().mapInArrow(_features, "lang string, x binary"), "language-sample")
     found = rows.repartition("lang").sortWithinPartitions("lang").mapInArrow(_centres, "lang string, n bigint, x binary").collect()  # one row a language
     if not found:
@@ -315,6 +316,7 @@ def _predicted(model: Tree | None, text) -> tuple[np.ndarray, np.ndarray]:
 
 def identify(docs: DataFrame, model: Tree | None) -> DataFrame:
     """The documents with two more columns, lang_pred and score (replacing columns of those names)."""
+    bounded_batches(docs.sparkSession)
     base = docs.drop("lang_pred", "score")
     schema = T.StructType([*base.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # machines of the languages, no rows
