@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import same, small, stage, table, text_key
+from .common import same, small, stage, table, text_key, unused
 
 #: Kinds in their fixed order.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -201,23 +201,25 @@ def sanitise(docs: DataFrame, contexts=(LINE,)) -> DataFrame:
     """The documents with findings replaced by [KIND] and disclosing terms generalised or removed; all columns stay."""
     found = spans(docs, contexts)
     found = found.where((F.size("base") > 0) | (F.size("terms") > 0)).dropDuplicates(["doc_id", "tk"])
-    found = small(stage(found.withColumnsRenamed({"doc_id": "__doc_id", "tk": "__found_tk", "base": "__base", "terms": "__terms"}), "spans"), MAX_BROADCAST_ROWS, F.size("__base") + F.size("__terms"))
-    mine = docs.withColumn("__tk", text_key())
+    of_doc, of_tk, of_base, of_terms, tk, put = (unused(docs, f"__{x}") for x in ("doc_id", "found_tk", "base", "terms", "tk", "new"))
+    found = found.withColumnsRenamed({"doc_id": of_doc, "tk": of_tk, "base": of_base, "terms": of_terms})
+    found = small(stage(found, "spans"), MAX_BROADCAST_ROWS, F.size(of_base) + F.size(of_terms))
+    mine = docs.withColumn(tk, text_key())
     marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    base = F.transform("__base", lambda m: F.struct(m["start"].alias("start"), m["k"].alias("k"), m["end"].alias("end"), F.element_at(marks, m["k"] + 1).alias("value")))
-    every = F.array_sort(F.concat(base, F.col("__terms")))
+    base = F.transform(of_base, lambda m: F.struct(m["start"].alias("start"), m["k"].alias("k"), m["end"].alias("end"), F.element_at(marks, m["k"] + 1).alias("value")))
+    every = F.array_sort(F.concat(base, F.col(of_terms)))
     text = F.col("text")
 
     def step(at, m):
-        put = F.when(m["start"] >= at, F.concat(F.substring(text, at + 1, m["start"] - at), m["value"])).otherwise("")
-        return F.greatest(at, m["end"]), put
+        piece = F.when(m["start"] >= at, F.concat(F.substring(text, at + 1, m["start"] - at), m["value"])).otherwise("")
+        return F.greatest(at, m["end"]), piece
 
     kept = F.array_join(_gather(every, step, "string"), "")
     last = F.array_max(F.transform(every, lambda m: m["end"]))
     done = F.concat(kept, F.substring(text, last + 1, F.length(text)))
-    joined = mine.join(found, (mine["__tk"] == F.col("__found_tk")) & mine["doc_id"].cast("bigint").eqNullSafe(F.col("__doc_id")), "left")
-    new = F.when(F.col("__found_tk").isNotNull(), done).otherwise(text)
-    out = joined.withColumn("__new", new).select(*[F.col("__new").alias("text") if c == "text" else mine[c] for c in docs.columns])
+    joined = mine.join(found, (mine[tk] == F.col(of_tk)) & mine["doc_id"].cast("bigint").eqNullSafe(F.col(of_doc)), "left")
+    new = F.when(F.col(of_tk).isNotNull(), done).otherwise(text)
+    out = joined.withColumn(put, new).select(*[F.col(put).alias("text") if c == "text" else mine[c] for c in docs.columns])
     if "n_chars" in docs.columns:  # follows the text where it was changed
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out
