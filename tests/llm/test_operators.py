@@ -80,7 +80,7 @@ def test_passages_of_words_against_all_windows(spark, docs):
     inner, short = " ".join(words(rng, 60, 5000)), " ".join(words(rng, 51, 300))
     more = [f"{short} tail", f"HEAD {short.upper()}\n", f"{' '.join(short.split()[:50])} almost", f"{inner} and {inner}", f"x {inner} y {inner} z {short} {short}", " ".join(inner.split()[5:57])]
     docs = docs.unionByName(spark.createDataFrame([(900 + i, t, None, None, None, None, None) for i, t in enumerate(more)], DOC))
-    rows = {(i, t or "") for i, t in rows_of(docs)}
+    rows = [(i, t or "", k) for k, (i, t) in enumerate(rows_of(docs))]  # a repeated row is another document
     split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t))
     held = {}
     for r in rows:
@@ -93,6 +93,35 @@ def test_passages_of_words_against_all_windows(spark, docs):
     assert want[900, len(more[0])] == 1 and want[902, len(more[2])] == 0 and want[903, len(more[3])] > 5
 
 
+@pytest.mark.parametrize("kind", ["u4", "u8"])
+def test_packed_entries_of_hot_tokens(kind, monkeypatch):
+    import pyarrow as pa
+
+    from trialweave.llm import passages
+
+    monkeypatch.setattr(passages, "FLUSH", 300)
+    monkeypatch.setattr(passages, "PIECE", 40)
+    rng, buckets = np.random.RandomState(3), 8
+    token = rng.randint(0, 1 << 62, 400).astype(np.uint64)
+    pairs = [(int(token[0]), k) for k in range(1, 900)] + [(int(rng.choice(token)), int(rng.randint(1, 500))) for _ in range(900)] + [(int(t), 7) for t in token]
+    rng.shuffle(pairs)
+    packed = []
+    for part in np.array_split(np.array(pairs, np.uint64), 3):  # three tasks
+        out = passages._Packer(buckets, kind)
+        for some in np.array_split(part, 11):
+            packed += out.add(some[:, 0], some[:, 1].astype(np.int64))
+        packed += out.flush()
+    rows = pa.Table.from_batches(packed).sort_by("bucket")
+    assert max(map(len, (x for x in rows["packed"].to_pylist() if x))) <= 300 * 16
+    close = lambda t, k: pa.record_batch({"t": pa.array(t.astype(np.uint64)), "k": pa.array(k)})
+    found = [r for b in passages._buckets(kind, close)(rows.to_batches()) for r in zip(b["t"].to_pylist(), b["k"].to_pylist(), strict=True)]
+    keys = {}
+    for t, k in pairs:
+        keys.setdefault(t, set()).add(k)
+    name = lambda t: int(passages._Packer(buckets, kind).named(np.array([t], np.uint64))[0])
+    assert set(found) == {(name(t), k) for t, ks in keys.items() if len(ks) > 1 for k in ks}
+
+
 def test_substrings_empty(spark):
     assert substrings.remove_repeats(empty(spark)).count() == 0
 

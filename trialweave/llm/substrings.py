@@ -22,8 +22,8 @@ are made, and every step is a grouping with partial aggregation or a join that a
 Hashes: contents are compared under (core, content), 128 bits together.
 
 Defined results: null and empty texts have 0 bytes and the hash of nothing.  Repeated rows repeat each other's strings,
-but of passages a row's exact repeat (same doc_id and text) is no other document.  Null doc_id is a value like any
-other.  Equal texts lose equal bytes.  Empty tables give no rows; extra columns are ignored.
+and each is another document.  Null doc_id is a value like any other.  Equal texts lose equal bytes.  Empty tables
+give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -248,8 +248,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     packed = F.shiftleft(F.col("s").cast("bigint"), 32) + F.col("e")
     ranges = repeated_windows(rows, sparse).groupBy("tk").agg(F.collect_set(packed).alias("u"))
     ranges = stage(ranges.mapInArrow(_cover, "tk bigint, u array<bigint>"), "ranges")
-    who = F.xxhash64("doc_id")
-    copies = rows.groupBy("tk").agg(F.min(who).alias("lo"), F.max(who).alias("hi")).where("lo <> hi").select("tk", F.lit(True).alias("copied"))
+    copies = rows.groupBy("tk").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("tk", F.lit(True).alias("copied"))
     passages = shared_windows(rows, sparse.count())
     found = ranges.join(passages, "tk", "full_outer").join(copies, "tk", "full_outer")
     found = small(stage(found, "found"), MAX_BROADCAST_ROWS, F.greatest(F.size("u"), F.lit(1)))
