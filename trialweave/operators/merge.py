@@ -54,7 +54,9 @@ class Keyed:
     type_checked: bool = True
     mask: Column | None = None
     cardinality: str = "n:m"
+    #: The first of the partner's matching rows only: by these columns, then by row.
     first_match: bool = False
+    first_by: tuple[str, ...] = ()
     #: Supplemental qualifiers of the partner, merged with it before the join; their columns are named as its own.
     supp: tuple[Table, ...] = ()
 
@@ -164,7 +166,8 @@ def merge_keyed(primary: Table, partners: list[Keyed], naming: Naming = Naming()
             q = q.withColumn(f"__k{i}", _whole(spec.table, b) if plain[i] else make(spec.table, b))
         keys = [f"__k{i}" for i in range(len(rights))]
         if spec.first_match:
-            q = q.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(ROW))).where("__rn = 1").drop("__rn")
+            first = [F.col(quoted(spec.table.require(c))) for c in spec.first_by]
+            q = q.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*first, ROW))).where("__rn = 1").drop("__rn")
         taken = {c.lower() for c in current.df.columns}
         carried = spec.table.columns if naming.style == "QUALIFIED" else [c for c in spec.table.columns if c not in rights]
         out = [F.col(k).alias(f"__r{k}") for k in keys] + [F.col(ROW).alias(f"__row_{part}")]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -23,9 +23,8 @@ def format_of(path: str) -> str | None:
     return next((f for p, f in FORMATS if re.search(p, path.split("#")[0], re.I)), None)
 
 
-def _parquet(spark: SparkSession, path: str, **options) -> Table:
-    """Parquet, numbered by file and by each row's place in it: no pass over the data but the count of each file's rows."""
-    df = spark.read.options(**options).parquet(path)
+def in_place(df: DataFrame) -> DataFrame:
+    """A scan of Parquet with ``__at``, by file and by each row's place in it: no pass but the count of each file's rows."""
     placed = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__place"))
     sizes = placed.groupBy("__file").agg(F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
@@ -33,7 +32,12 @@ def _parquet(spark: SparkSession, path: str, **options) -> Table:
     if offsets.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
         offsets = F.broadcast(offsets)
     rows = placed.join(offsets, F.xxhash64("__file") == F.col("__f")).withColumn("__at", F.col("__offset") + F.col("__place"))
-    cells = normalise.parquet(rows.drop("__file", "__place", "__f", "__offset"))
+    return rows.drop("__file", "__place", "__f", "__offset")
+
+
+def _parquet(spark: SparkSession, path: str, **options) -> Table:
+    """Parquet, numbered in the order of its files and rows."""
+    cells = normalise.parquet(in_place(spark.read.options(**options).parquet(path)))
     return Table(cells.withColumnRenamed("__at", ROW), path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0])
 
 
