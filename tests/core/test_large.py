@@ -19,3 +19,29 @@ def test_first_match_ties_by_place(spark, tmp_path):
         _put(lines, name, l_orderkey=pa.array([i % 500 for i in range(n)]), l_linenumber=pa.array([1] * n, pa.int32()), l_partkey=pa.array([part + i for i in range(n)]))
     got = {r["o_orderkey"]: r["first_part"] for r in QUERIES["merge_first_match"](spark, str(tmp_path)).collect()}
     assert got == {i: 1 + i for i in range(500)}
+
+
+def _rows_of_operators(spark, df):
+    """Most rows that any operator of the executed plan made."""
+    df.collect()
+    most, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        if p.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            p = p.finalPhysicalPlan()
+        if p.getClass().getSimpleName().endswith("QueryStageExec"):
+            p = p.plan()
+        rows = p.metrics().get("numOutputRows")
+        most = max(most, rows.get().value() if rows.isDefined() else 0)
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+    return most
+
+
+def test_counted_partners_multiply_no_rows(spark, tmp_path):
+    n, m = 3000, 2000
+    _put(tmp_path, "customer", c_custkey=pa.array(range(n)), c_nationkey=pa.array([i % 2 if i % 11 else None for i in range(n)], pa.int32()))
+    _put(tmp_path, "supplier", s_suppkey=pa.array(range(m)), s_nationkey=pa.array([0] * m, pa.int32()))
+    df = QUERIES["merge_drop_missing_keys"](spark, str(tmp_path))
+    want = {i: m - len(range(0, m, 5)) if i % 7 and i % 11 and i % 2 == 0 else 0 for i in range(n)}
+    assert {r["c_custkey"]: r["kept"] for r in df.collect()} == want
+    assert _rows_of_operators(spark, df) <= n + m

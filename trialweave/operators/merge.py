@@ -57,6 +57,9 @@ class Keyed:
     #: The first of the partner's matching rows only: by these columns, then by row.
     first_match: bool = False
     first_by: tuple[str, ...] = ()
+    #: Columns of which only the number of values in matching rows is wanted: the partner is grouped by key before the
+    #: join, so that n:m keys multiply no rows, and the part has these numbers (no row: NULL) in their place.
+    counted: tuple[str, ...] = ()
     #: Supplemental qualifiers of the partner, merged with it before the join; their columns are named as its own.
     supp: tuple[Table, ...] = ()
 
@@ -169,7 +172,11 @@ def merge_keyed(primary: Table, partners: list[Keyed], naming: Naming = Naming()
             first = [F.col(quoted(spec.table.require(c))) for c in spec.first_by]
             q = q.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*first, ROW))).where("__rn = 1").drop("__rn")
         taken = {c.lower() for c in current.df.columns}
-        carried = spec.table.columns if naming.style == "QUALIFIED" else [c for c in spec.table.columns if c not in rights]
+        if spec.counted:
+            carried = [spec.table.require(c) for c in spec.counted]
+            q = q.groupBy(*keys).agg(F.min(ROW).alias(ROW), *[F.count(quoted(c)).alias(c) for c in carried])
+        else:
+            carried = spec.table.columns if naming.style == "QUALIFIED" else [c for c in spec.table.columns if c not in rights]
         out = [F.col(k).alias(f"__r{k}") for k in keys] + [F.col(ROW).alias(f"__row_{part}")]
         for c in carried:
             new = naming.rename(taken, part, c)
@@ -177,6 +184,8 @@ def merge_keyed(primary: Table, partners: list[Keyed], naming: Naming = Naming()
                 raise MergeError(f"column {new} occurs twice")
             taken.add(new.lower())
             out.append(F.col(quoted(c)).alias(new, metadata={**spec.table.df.schema[c].metadata, "merged_from": part, "merged_source_column": c, "merge_kind": "KEYED"}))
+            if spec.counted:
+                continue
             if mis(c) in spec.table.df.columns:
                 out.append(F.col(quoted(mis(c))).alias(mis(new)))
             out += [F.col(quoted(f"{flag}{c}")).alias(f"{flag}{new}") for flag in (SUPPLIED, DOUBLED) if f"{flag}{c}" in spec.table.df.columns]
