@@ -45,3 +45,13 @@ def test_counted_partners_multiply_no_rows(spark, tmp_path):
     want = {i: m - len(range(0, m, 5)) if i % 7 and i % 11 and i % 2 == 0 else 0 for i in range(n)}
     assert {r["c_custkey"]: r["kept"] for r in df.collect()} == want
     assert _rows_of_operators(spark, df) <= n + m
+
+
+def test_approximate_distinct_keeps_one_sketch_a_group(spark, tmp_path):
+    """No aggregation by user holds a sketch."""
+    _put(tmp_path, "events", event_type=pa.array([None if i % 3 == 0 else str(i % 2) for i in range(3000)]), user_id=pa.array([i % 700 if i % 13 else None for i in range(3000)]))
+    df = QUERIES["agg_approximate_distinct"](spark, str(tmp_path))
+    assert sorted(map(tuple, df.collect()), key=str) == [("0", True), ("1", True), (None, True)]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    sketches = [line for line in plan.splitlines() if "approx_count_distinct(" in line]
+    assert sketches and not any("user_id" in line.split("keys=[")[1].split("]")[0] for line in sketches)
