@@ -2,7 +2,9 @@
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
+from trialweave.model.table import ROW, number_rows
 from trialweave.plans.registry import QUERIES
 
 
@@ -55,3 +57,24 @@ def test_approximate_distinct_keeps_one_sketch_a_group(spark, tmp_path):
     plan = df._jdf.queryExecution().executedPlan().toString()
     sketches = [line for line in plan.splitlines() if "approx_count_distinct(" in line]
     assert sketches and not any("user_id" in line.split("keys=[")[1].split("]")[0] for line in sketches)
+
+
+def test_rows_are_numbered_without_python(spark):
+    """Numbers run through over tasks, by place or by columns; rows are made once, and not by Python."""
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    df = spark.range(0, 1000, 1, 7).where("id % 3 > 0").mapInArrow(seen, "id bigint").select("id", F.lit(None).alias("nothing"), F.col("id").alias("ID"))
+    out = number_rows(df)
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString() and "ExistingRDD" not in out._jdf.queryExecution().executedPlan().toString()
+    want = [i for i in range(1000) if i % 3]
+    rows = sorted(map(tuple, out.collect()), key=lambda r: r[3])
+    assert rows == [(i, None, i, k) for k, i in enumerate(want)] and out.columns == ["id", "nothing", "ID", ROW]
+    assert made.value == len(want)
+    back = number_rows(spark.range(0, 1000, 1, 7), [F.desc("id")])
+    assert sorted((r[ROW], r["id"]) for r in back.collect()) == [(k, 999 - k) for k in range(1000)]
+    assert number_rows(spark.range(0)).collect() == []

@@ -7,14 +7,20 @@ one, a companion ``C__mis`` (tinyint) that holds the marker's code.  Text: NULL
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from ..shared import shared_dir
 
 ROW = "__row"
 HIDDEN = "__"
+#: Bits of Spark's increasing ids that count within a task; those above are the task.
+_IN_TASK = 33
 #: Where a table's encoding is from, the least certain first.
 ENCODING_SOURCES = ("DEFAULT", "CONFIGURED", "FORMAT", "DECLARED")
 
@@ -108,9 +114,21 @@ class Table:
 def number_rows(df: DataFrame, order: list[str] | None = None) -> DataFrame:
     """Rows numbered from 0: by columns through a range shuffle, or by their place in the input.
 
-    No single task sees all rows: partitions are counted first and numbered from their offsets.
+    The rows are made once, and written to the shared folder with their task and their place in it; no single task sees
+    all of them: they are counted by task and numbered from the tasks' offsets.
     """
     if order:
         df = df.orderBy(*order)
-    schema = T.StructType([*df.schema.fields, T.StructField(ROW, T.LongType(), False)])
-    return df.sparkSession.createDataFrame(df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), schema)
+    spark, fields = df.sparkSession, df.schema.fields
+    names = [f"c{i}" for i in range(len(fields))]
+    kept = [n for n, f in zip(names, fields, strict=True) if not isinstance(f.dataType, T.NullType)]  # Parquet has no type for these
+    made = df.toDF(*names).select(*kept, F.monotonically_increasing_id().alias("at"))
+    path = f"{shared_dir(spark)}/numbered/{uuid.uuid4().hex}"
+    made.write.option("compression", "zstd").parquet(path)
+    rows = spark.read.schema(made.schema).parquet(path).withColumns({"task": F.shiftright("at", _IN_TASK), "place": F.col("at").bitwiseAND(F.lit((1 << _IN_TASK) - 1))})
+    before = Window.orderBy("of").rowsBetween(Window.unboundedPreceding, -1)  # one row a task
+    sizes = rows.groupBy(F.col("task").alias("of")).agg(F.count(F.lit(1)).alias("n"))
+    offsets = sizes.select("of", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    met = rows.join(F.broadcast(offsets), F.col("task") == F.col("of"))
+    cells = [(F.col(n) if n in kept else F.lit(None)).alias(f.name, metadata=f.metadata) for n, f in zip(names, fields, strict=True)]
+    return met.select(*cells, (F.col("offset") + F.col("place")).alias(ROW))
