@@ -1,11 +1,14 @@
 """What shows on larger tables, in small: ties over files, plans that must not multiply rows, text split within records."""
 
+import random
+
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from trialweave.model.table import ROW, number_rows
 from trialweave.plans.registry import QUERIES
+from trialweave.sources import delimited
 
 
 def _put(folder, name, **columns):
@@ -78,3 +81,33 @@ def test_rows_are_numbered_without_python(spark):
     back = number_rows(spark.range(0, 1000, 1, 7), [F.desc("id")])
     assert sorted((r[ROW], r["id"]) for r in back.collect()) == [(k, 999 - k) for k in range(1000)]
     assert number_rows(spark.range(0)).collect() == []
+
+
+def test_quoted_line_breaks_over_splits(spark, tmp_path):
+    """Splits anywhere, also within quoted cells, give the records of the whole text."""
+    rng = random.Random(7)
+    ends = ["\n", "\r\n", "\r"]
+    cells = ["", "1", ".A", '"x"', 'a"b', '"two\nlines"', '"crlf\r\nin"', '"cr\rin"', '"say ""so"",\n"', '""', '"' + "long\n" * 60 + '"', '"q"r"', "é"]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        for case in range(4):
+            texts = []
+            for f in range(2):
+                rows = [",".join(rng.choice(cells) for _ in range(3)) for _ in range(40)]
+                texts.append("".join(r + (rng.choice(ends) if case % 2 else "\n") for r in ["a,\"b\nb\",c", *rows, '"even\nodd",1,2']))
+            texts[1] = texts[1].rstrip("\r\n") + ("" if case % 4 < 2 else '\n1,2,"open\n' + ("" if case % 4 == 2 else "end"))
+            where = tmp_path / f"t{case}.csv"
+            where.mkdir()
+            for f, text in enumerate(texts):
+                (where / f"part-{f}.csv").write_bytes(text.encode())
+            want = [r for text in texts for r in list(delimited.records(text, ","))[1:]]
+            for size in ("90",) if case == 3 else ("400",):
+                spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+                names, rows, _ = delimited._over_lines(spark, str(where), ",", '"', '"', 10)
+                got = sorted(rows.collect(), key=lambda r: r[ROW])
+                assert names == ["a", "b\nb", "c"] and [r[ROW] for r in got] == list(range(len(want)))
+                assert [[(x["v"], x["q"]) for x in r["c"]] for r in got] == want, (case, size)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
