@@ -111,3 +111,17 @@ def test_quoted_line_breaks_over_splits(spark, tmp_path):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_one_file_of_quoted_line_breaks_is_many_tasks(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("a,b\n" + "".join(f'{i},"x\ny"\n' for i in range(200)))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+        rows = delimited.read(spark, str(tmp_path / "t.csv")).df.select("a", "b", ROW, F.spark_partition_id().alias("task")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((r[ROW], r["a"], r["b"]) for r in rows) == [(i, float(i), "x\ny") for i in range(200)]
+    assert len({r["task"] for r in rows}) > 2
